@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -57,3 +58,53 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return docs.select(
         docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *(docs[c].alias(c) for c in more)
     )
+
+
+#: At most so many bits of a bitmap are broadcast (16 MB), however many keys there are.
+MOST_BITS = 1 << 27
+LEAST_BITS = 1 << 20
+
+
+def bitmap(keys: DataFrame):
+    """The long column ``key`` as a bitmap of at least 64 bits a key, up to a fixed ceiling.
+
+    A key's low bits are its place, so keys should be hashes. A test against the
+    bitmap may be wrongly true, never wrongly false; an exact join has to follow.
+    """
+    import numpy as np
+
+    size, n = LEAST_BITS, keys.count()
+    while size < 64 * n and size < MOST_BITS:
+        size *= 2
+    cell, bit = f"shiftrightunsigned(key & {size - 1}L, 6)", "shiftleft(1L, cast(key & 63L as int))"
+    rows = keys.groupBy(F.expr(cell).alias("cell")).agg(F.bit_or(F.expr(bit)).alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype=np.uint64)
+    out[rows["cell"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): connected components, the root being the smallest id.
+
+    Alternating large-star and small-star rounds: each is two joins and two
+    aggregations over the edges, and their number grows with the logarithm of
+    the longest path. Every round is written, so none is computed twice. Nodes
+    without an edge are left out; nulls are ignored.
+    """
+    now = written(
+        edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
+        "edges",
+    )
+    state = None
+    while True:
+        print_of = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if print_of == state or not print_of[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        state = print_of
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(small.union(least).distinct(), "small")
