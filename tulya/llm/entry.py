@@ -11,6 +11,7 @@ from . import sql
 
 _WHERE = {
     "op1_decontaminate": ("decontaminate", "op1"),
+    "op3_line_dedup": ("linededup", "op3"),
     "op9_minhash": ("minhash", "op9"),
 }
 
