@@ -12,7 +12,9 @@ from . import sql
 _WHERE = {
     "op1_decontaminate": ("decontaminate", "op1"),
     "op3_line_dedup": ("linededup", "op3"),
+    "op4_mixing": ("mixing", "op4"),
     "op9_minhash": ("minhash", "op9"),
+    "op10_substring_dedup": ("substrings", "op10"),
 }
 
 
