@@ -13,6 +13,8 @@ _WHERE = {
     "op1_decontaminate": ("decontaminate", "op1"),
     "op3_line_dedup": ("linededup", "op3"),
     "op4_mixing": ("mixing", "op4"),
+    "op5_warc": ("warc", "op5"),
+    "op7_quality_rules": ("rules", "op7"),
     "op9_minhash": ("minhash", "op9"),
     "op10_substring_dedup": ("substrings", "op10"),
 }

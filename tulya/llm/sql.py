@@ -48,7 +48,22 @@ select doc_id, cast(unit_no as int) as unit_no, cast(start as bigint) as start,
 from p where passage_words >= 50
 """
 
+OP5 = """
+with p as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex,
+    min(page_id) over (partition by coalesce(html, '')) as first_id from pages),
+d as (
+  select *, [cast('0x' || substr(hex, 1 + 10 * cast(i as int), 10) as bigint) for i in range(4)] as quarters from p)
+select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((quarters[1 + i // 8] >> (35 - 5 * (i % 8))) & 31) as int), 1)
+    for i in range(32)], '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from d
+"""
+
 ORACLES = {
+    "op5_warc": OP5,
     "op10_substring_dedup": OP10,
     "op1_decontaminate": OP1,
 }
