@@ -11,6 +11,7 @@ from . import sql
 
 _WHERE = {
     "op1_decontaminate": ("decontaminate", "op1"),
+    "op2_language_id": ("language", "op2"),
     "op3_line_dedup": ("linededup", "op3"),
     "op4_mixing": ("mixing", "op4"),
     "op5_warc": ("warc", "op5"),
