@@ -16,6 +16,7 @@ _WHERE = {
     "op4_mixing": ("mixing", "op4"),
     "op5_warc": ("warc", "op5"),
     "op7_quality_rules": ("rules", "op7"),
+    "op8_quality_classifier": ("kneserney", "op8"),
     "op9_minhash": ("minhash", "op9"),
     "op10_substring_dedup": ("substrings", "op10"),
 }
