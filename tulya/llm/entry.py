@@ -15,6 +15,7 @@ _WHERE = {
     "op3_line_dedup": ("linededup", "op3"),
     "op4_mixing": ("mixing", "op4"),
     "op5_warc": ("warc", "op5"),
+    "op6_lm_score": ("pseudolikelihood", "op6"),
     "op7_quality_rules": ("rules", "op7"),
     "op8_quality_classifier": ("kneserney", "op8"),
     "op9_minhash": ("minhash", "op9"),
@@ -29,8 +30,14 @@ def _query(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _query(*v) for k, v in _WHERE.items()}
+    return {k: _query(*v) for k, v in _WHERE.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
