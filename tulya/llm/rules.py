@@ -148,6 +148,12 @@ class Forest:
         self.feature, self.cut = np.array(feature, np.int64), np.array(cut)
         self.left, self.path = np.array(left, np.int64), np.array(path)
 
+    @classmethod
+    def of(cls, fields: dict) -> Forest:
+        forest = cls.__new__(cls)
+        vars(forest).update(fields)
+        return forest
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """2 ** -(mean path / usual path): near 1 is odd, under a half is usual. 0 without trees."""
         if not self.roots or not len(rows):
@@ -214,12 +220,12 @@ def rule_verdicts(
     some = passed.filter(F.pmod(by, F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * most / max(n, 1)) * (1 << 20)) + 1))
     rows = some.orderBy(by).limit(most).select(*names).toArrow()
     forest = Forest(features({c: rows[c].to_numpy() for c in names}), trees, tree_rows)
-    grown = spark.sparkContext.broadcast(forest)
+    grown = spark.sparkContext.broadcast(vars(forest))  # data only: executors may lack the class
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = {c: batch.column(batch.schema.names.index(c)).to_numpy() for c in names}
-            score = grown.value.scores(features(values))
+            score = Forest.of(grown.value).scores(features(values))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
     scored = written(stats.mapInArrow(judge, f"doc_id {kind}, {_STATS}, base_failed boolean, score double"), "scored")
