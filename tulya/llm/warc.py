@@ -75,13 +75,17 @@ def write_archives(
     rows = rows.withColumns({
         "bytes": F.octet_length("html").cast("long"), "sha": F.sha1("html"), "strong": F.sha2("html", 256),
     })
-    large = rows.filter(F.col("bytes") >= least_bytes)
-    first = large.groupBy("strong").agg(
+    # Which rows are revisits is settled on ids and digests; payloads meet that small table once.
+    digests = rows.filter(F.col("bytes") >= least_bytes).select("page_id", "strong")
+    first = digests.groupBy("strong").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("f"), F.count("*").alias("n")
     )
     first = first.filter("n > 1").select(F.col("strong").alias("s"), F.col("f.page_id").alias("first_id"))
-    joined = rows.join(first, F.col("strong") == F.col("s"), "left")
-    revisit = F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    again = digests.join(first, F.col("strong") == F.col("s")).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    again = written(again.select(F.col("page_id").alias("again_id"), "s", "first_id").distinct(), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("strong") == F.col("s"))
+    joined = rows.join(again, same, "left")
+    revisit = F.col("s").isNotNull()
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     date = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1704067200)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
