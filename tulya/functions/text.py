@@ -6,6 +6,7 @@ unless it says otherwise. Lengths are in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def replace_all(c: Column | str, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(col(c), pattern, by)
 

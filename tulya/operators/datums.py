@@ -50,7 +50,8 @@ def spans(text: Column, pattern: str) -> Column:
             F.when(s["hit"], F.array_append(s["out"], row)).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(parts, start, step, lambda s: s["out"])
+    found = F.aggregate(parts, start, step, lambda s: s["out"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))  # most texts lack most patterns
 
 
 def disjoint(found: Column) -> Column:
@@ -80,17 +81,24 @@ def normalize_date(raw: Column) -> Column:
 
     Two-digit years are the first number of 21 to 99, in any place, and 2000 more.
     """
-    nums = F.transform(F.regexp_extract_all(raw, F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
+    found = F.transform(F.regexp_extract_all(raw, F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
+    return X.let(found, lambda nums: _date_of(raw, nums))
+
+
+_MONTHS = [*V.GUJARATI_MONTHS.items(), *((m.lower(), i + 1) for i, m in enumerate(V.ENGLISH_MONTHS))]
+
+
+def _date_of(raw: Column, nums: Column) -> Column:
     four = F.filter(nums, lambda n: (n >= 1000) & (n <= 2999))
     two = F.filter(nums, lambda n: (n > 20) & (n <= 99))
-    year = F.when(F.size(four) > 0, F.get(four, 0)).when(F.size(two) > 0, F.get(two, 0) + 2000)
-    low = F.lower(raw)
-    month = F.lit(None).cast("int")
-    english = [(m.lower(), i + 1) for i, m in enumerate(V.ENGLISH_MONTHS)]
-    for name, n in [*V.GUJARATI_MONTHS.items(), *english][::-1]:
-        month = F.when(F.contains(low, F.lit(name)), F.lit(n)).otherwise(month)
-    days = F.filter(nums, lambda n: (n <= 31) & (n != month))
-    day = F.coalesce(F.get(days, 0), F.get(nums, 0))
+    year = F.coalesce(F.get(four, 0), F.get(two, 0) + 2000)
+    months = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(n).alias("n")) for name, n in _MONTHS))
+    month = F.get(F.filter(months, lambda m: F.contains(F.lower(raw), m["name"])), 0)["n"]
+    return X.let(F.struct(year.alias("y"), month.alias("m")), lambda t: _date_by(raw, nums, t["y"], t["m"]))
+
+
+def _date_by(raw: Column, nums: Column, year: Column, month: Column) -> Column:
+    day = F.coalesce(F.get(F.filter(nums, lambda n: (n <= 31) & (n != month)), 0), F.get(nums, 0))
     named = month.isNotNull() & year.isNotNull() & (day >= 1) & (day <= 31)
     a, b, c = (F.get(nums, i) for i in range(3))
     none = F.concat(F.lit("?"), raw)

@@ -29,8 +29,8 @@ def dense_pieces(line: Column, most: int = R.DENSE) -> Column:
         )
 
     packed = F.aggregate(parts, start, fill, lambda s: F.concat(s["out"], F.array(X.trimmed(s["buf"]))))
-    steps = F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1)), F.lit(most))
-    wrapped = F.transform(steps, lambda i: X.trimmed(F.substr(line, i, F.lit(most))))
+    steps = F.sequence(F.lit(0), F.greatest(F.floor((F.length(line) - 1) / most), F.lit(0)).cast("int"))
+    wrapped = F.transform(steps, lambda i: X.trimmed(F.substr(line, i * most + 1, F.lit(most))))
     out = F.when(F.length(line) <= most, F.array(line)).when(F.size(parts) > 1, packed).otherwise(wrapped)
     return F.filter(out, lambda x: x != "")
 
@@ -38,7 +38,7 @@ def dense_pieces(line: Column, most: int = R.DENSE) -> Column:
 def page_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, pos, line: a page's lines, long ones cut."""
     raw = F.filter(F.transform(F.split("text", "\n+", -1), X.trimmed), lambda x: x != "")
-    lines = F.flatten(F.transform(raw, dense_pieces))
+    lines = F.flatten(F.transform(raw, lambda x: dense_pieces(x)))  # noqa: PLW0108
     keep = [c for c in ("kind", "confidence") if c in pages.columns]
     return pages.select("doc_id", "page_no", *keep, F.posexplode(lines).alias("pos", "line"))
 
@@ -122,6 +122,13 @@ def preflight(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("ok", ok).withColumns({"script": F.col("_p.script"), "legacy": F.col("_l")}).drop("_p", "_l", "_i")
 
 
+def _adds(weight: float):
+    def step(total: Column, n: Column) -> Column:
+        return total + F.when(n > 0, weight * (1 + F.log2(1 + n) / 4)).otherwise(F.lit(0.0))
+
+    return step
+
+
 def doc_type(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, type, confidence, top_score, runner_up: the type whose patterns weigh most.
 
@@ -131,12 +138,10 @@ def doc_type(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     scores = []
     for name, weight, patterns in doctypes.RULES:
-        total = F.lit(0.0)
-        for rx, flags in patterns:
-            n = F.regexp_count(F.col(text_col), F.lit(java(rx, flags == "i")))
-            total = total + F.when(n > 0, weight * (1 + F.log2(1 + n) / 4)).otherwise(F.lit(0.0))
-        scores.append(F.struct(total.alias("score"), F.lit(-len(scores)).alias("rank"), F.lit(name).alias("name")))
-    ranked = df.select(F.col(id_col), F.sort_array(F.array(*scores), asc=False).alias("r"))
+        counts = F.array(*(F.regexp_count(F.col(text_col), F.lit(java(rx, flags == "i"))) for rx, flags in patterns))
+        scores.append(F.struct(F.aggregate(counts, F.lit(0.0), _adds(weight)).alias("score"), F.lit(-len(scores)).alias("rank"), F.lit(name).alias("name")))
+    # The generator keeps the scores from being worked out again wherever they are used.
+    ranked = df.select(F.col(id_col), F.inline(F.array(F.struct(F.sort_array(F.array(*scores), asc=False).alias("r")))))
     top, second = F.col("r")[0]["score"], F.col("r")[1]["score"]
     margin = F.when(second > 0, (top - second) / top).otherwise(F.lit(1.0))
     other = (margin < 0.18) & (top < 6)

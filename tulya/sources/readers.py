@@ -75,10 +75,11 @@ def synthetic_pages(df: DataFrame, id_col: str, paragraphs_col: str) -> DataFram
     n = F.greatest(F.lit(1), F.ceil(joined / SYNTHETIC_PAGE)).cast("int")
     per = F.greatest(F.lit(1), F.ceil(F.size(paragraphs_col) / n)).cast("int")
     cut = df.select(F.col(id_col).alias("doc_id"), F.col(paragraphs_col).alias("p"), per.alias("per"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)), F.col("per"))
-    return cut.select("doc_id", "p", "per", F.posexplode(starts).alias("i", "start")).select(
-        "doc_id", (F.col("i") + 1).alias("page_no"), F.array_join(F.slice("p", F.col("start"), F.col("per")), "\n").alias("text")
-    )
+    last = F.floor((F.greatest(F.size("p"), F.lit(1)) - 1) / F.col("per")).cast("int")
+    return cut.select("doc_id", "p", "per", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
+        "doc_id", (F.col("i") + 1).alias("page_no"),
+        F.array_join(F.slice("p", F.col("i") * F.col("per") + 1, F.col("per")), "\n").alias("text"),
+    )
 
 
 def scanned_split(df: DataFrame, text_col: str = "text") -> DataFrame:
