@@ -83,6 +83,34 @@ def bitmap(keys: DataFrame):
     return out
 
 
+#: Bits in one row of a bitmap table, as Spark's bitmap functions have it.
+_ROW_BITS = 32768
+
+
+def bitmap_table(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The column ``key`` as rows (cell, bits) of 4 kB; at most 16 MB in all."""
+    size, n = LEAST_BITS, keys.count()
+    while size < 64 * n and size < MOST_BITS:
+        size *= 2
+    place = f"(key & {size - 1}L)"
+    rows = keys.groupBy(F.expr(f"cast({place} div {_ROW_BITS} as int)").alias("cell")).agg(
+        F.expr(f"bitmap_construct_agg({place} % {_ROW_BITS})").alias("bits")
+    )
+    return written(rows, "bitmap"), size
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose key may be in the bitmap. Its size has a ceiling, so it is broadcast."""
+    rows, size = bitmap
+    place = f"({column} & {size - 1}L)"
+    byte = f"cast(conv(hex(substring(bits, cast(({place} % {_ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return (
+        df.join(F.broadcast(rows), F.expr(f"cast({place} div {_ROW_BITS} as int)") == F.col("cell"))
+        .filter(f"(shiftright({byte}, cast({place} % 8 as int)) & 1) = 1")
+        .select(*df.columns)
+    )
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): connected components, the root being the smallest id.
 

@@ -2,7 +2,7 @@
 
 The model is of character n-grams (order 4) over a closed set of symbols: the
 commonest characters of trusted text, one for all others, one for blanks and one
-for a text's edges. Counts of all trusted documents are joined by n-gram in
+for a text's edges. Counts of trusted documents are joined by n-gram in
 shards of Spark's shuffle; the table of probabilities that follows from them has
 at most SYMBOLS ** ORDER cells whatever the corpus size, so documents meet it map
 side. Each language has a cut of its own: a quantile of the perplexities of its
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bitmap, session, written
+from .common import bitmap_table, maybe_in, session, written
 
 ORDER = 4
 #: Edge, blank, other and the commonest characters; 48 ** 4 cells of 4 bytes are 21 MB.
@@ -98,12 +98,13 @@ def _count(table):
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """D for counts of 0, 1, 2 and 3 or more, by Chen and Goodman's estimates; kept between 0 and the count."""
+    """D for counts of 0, 1, 2 and 3 or more, by Chen and Goodman's estimates; kept between a twentieth of the count and the count, so
+    something is always left for what wasn't seen."""
     n1, n2, n3, n4 = (float((counts == i).sum()) for i in range(1, 5))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     d = [0.0]
     for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), start=1):
-        d.append(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else k * 0.5)
+        d.append(min(max(k - (k + 1) * y * b / a, 0.05 * k), float(k)) if a else k * 0.5)
     return np.array(d)
 
 
@@ -150,6 +151,11 @@ def _score(table, logs):
     return run
 
 
+def _held_back(id_col: str) -> F.Column:
+    """One trusted document in five sets the cuts and isn't counted, for the model flatters what it has counted."""
+    return F.pmod(F.xxhash64(id_col), F.lit(5)) == 0
+
+
 def perplexity_verdicts(
     docs: DataFrame,
     labels: DataFrame,
@@ -163,10 +169,10 @@ def perplexity_verdicts(
 ) -> DataFrame:
     """doc_id, lang, trusted, n_symbols, perplexity, cut, kept: a row per row of docs.
 
-    Trusted are documents labelled with a quality above 0. Counts are of all of
-    them. A document is kept if its perplexity isn't above its language's cut, the
-    quantile over that language's trusted documents; a null language is one of its
-    own. A language without trusted documents takes the quantile over all trusted
+    Trusted are documents labelled with a quality above 0. Four in five of them
+    are counted, the others (all, in a language that has none of these) give their
+    language's cut, a quantile of their perplexities. A document is kept if its
+    perplexity isn't above the cut; a null language is one of its own. A language without trusted documents takes the quantile over all trusted
     ones; without any, all is kept. An empty or null text holds its end only.
     Documents labelled more than once are trusted if one label says so. Rows with
     a null id are never trusted. An empty table gives an empty result.
@@ -176,31 +182,19 @@ def perplexity_verdicts(
     body = docs.select(docs[text_col].alias("text"), docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"))
     good = labels.filter(labels[quality_col] > 0).select(labels[label_id_col].alias("good_id")).dropna().distinct()
     good = written(good, "trusted")
-    # Documents meet the labels by id alone; the text is read only where the counting needs it.
-    marked = body.select("doc_id").join(good, F.col("doc_id") == F.col("good_id"), "left_semi").distinct()
-    wanted = written(marked.select(F.xxhash64("doc_id").alias("key")), "wanted")
-    bits = spark.sparkContext.broadcast(bitmap(wanted))
-    hashed = body.select("text", F.xxhash64("doc_id").alias("key"), "doc_id")
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(K.bitmap_has(bits.value, keys)))
-
-    def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _characters(some(batches))
-
-    points = hashed.mapInArrow(characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    # The bitmap keeps most other texts out of the join, which then is exact.
+    counted = good.filter(~_held_back("good_id"))
+    keys = bitmap_table(counted.select(F.xxhash64("good_id").alias("key")))
+    near = maybe_in(body.select("text", "doc_id", F.xxhash64("doc_id").alias("key")), "key", keys)
+    source = near.join(counted, F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
+    source = written(source, "source")
+
+    points = source.mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
     blanks = [0x20, *range(0x09, 0x0E)]
     common = points.filter(~F.col("point").isin(blanks)).orderBy(F.desc("n"), "point").limit(SYMBOLS - OTHER - 1).collect()
     table = spark.sparkContext.broadcast(symbol_table([r["point"] for r in common]))
-    counting = _count(table)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return counting(some(batches))
-
     # Sharded by n-gram: each shard sums what the tasks have counted.
-    counts = hashed.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(_count(table), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "counts").toArrow().sort_by("gram")
     logs = spark.sparkContext.broadcast(log_table(counts["gram"].to_numpy(), counts["n"].to_numpy()))
 
@@ -210,10 +204,12 @@ def perplexity_verdicts(
     trusted = scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull())
     trusted = written(trusted.drop("good_id"), "judged")
     q = F.expr(f"percentile_approx(perplexity, {quantile}, 100000)")
-    of_lang = trusted.filter("trusted").groupBy(F.col("lang").alias("l")).agg(q.alias("own"))
+    held, lang = trusted.filter(F.col("trusted") & _held_back("doc_id")), F.col("lang")
+    of_lang = held.groupBy(lang.alias("l")).agg(q.alias("own"))
+    of_counted = trusted.filter("trusted").groupBy(lang.alias("m")).agg(q.alias("counted"))
     of_all = trusted.filter("trusted").agg(q.alias("every"))
-    out = trusted.join(of_lang, F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(of_all))  # one row
-    out = out.withColumn("cut", F.coalesce("own", "every"))
+    out = trusted.join(of_lang, lang.eqNullSafe(F.col("l")), "left").join(of_counted, lang.eqNullSafe(F.col("m")), "left")
+    out = out.crossJoin(F.broadcast(of_all)).withColumn("cut", F.coalesce("own", "counted", "every"))  # one row
     kept = F.col("cut").isNull() | (F.col("perplexity") <= F.col("cut"))
     return out.select("doc_id", "lang", "trusted", "n_symbols", "perplexity", "cut", kept.alias("kept"))
 
