@@ -276,6 +276,7 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     in_block = Window.partitionBy(*keys)
     doubtful = F.max((F.col("side") == "s") & (F.col("kind") == "date") & F.col("normalized").startswith("AMBIG:"))
     both = both.withColumn("_fold", F.col("kind").isin(ordered) | ((F.col("kind") == "date") & doubtful.over(in_block)))
+    both = both.persist()  # either way of matching reads it; what is lost is extracted again
 
     plain = both.filter("not _fold").drop("_fold")
     plain = plain.withColumn("key", match_key(F.col("kind"), F.col("surface"), F.col("normalized")))

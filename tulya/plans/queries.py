@@ -36,8 +36,8 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     return datums.match_datums(source, target, b.select(*KEYS, (F.trim("target_text") == "").alias("target_blank")), KEYS)
 
 
-def _findings(spark: SparkSession, d: str) -> DataFrame:
-    found = datums.datum_findings(_matched(spark, d), KEYS).select(*KEYS, "check", "category", "severity", "title")
+def _findings(spark: SparkSession, d: str, matched: DataFrame | None = None) -> DataFrame:
+    found = datums.datum_findings(_matched(spark, d) if matched is None else matched, KEYS).select(*KEYS, "check", "category", "severity", "title")
     return found.unionByName(verify.structure_findings(bitext(spark, d)).select(*KEYS, "check", "category", "severity", "title"))
 
 
@@ -60,8 +60,9 @@ def datum_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     b = bitext(spark, d)
-    p = score.penalties(_findings(spark, d))
-    n = datums.extract_datums(b, "source_text", "s", KEYS, with_names=False).groupBy("doc_id").agg(F.count("*").alias("n_datums"))
+    m = _matched(spark, d)
+    p = score.penalties(_findings(spark, d, m))
+    n = m.filter("side = 's'").groupBy("doc_id").agg(F.count("*").alias("n_datums"))
     c = verify.coverage(b).withColumnRenamed("ratio", "coverage")
     none = {"n_terms": F.lit(0), "mean_ocr": F.lit(None).cast("double"), "available": F.lit(False), "complete": F.lit(False),
             "faithful": F.lit(True), "blocks_judged": F.lit(0), "blocks_total": F.lit(0), "n_verdicts": F.lit(0)}
