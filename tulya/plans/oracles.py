@@ -147,6 +147,14 @@ pairs as (select t.*, p.key, head, preserve, alternative, list_contains({_TOKENS
   from turns t join plan p on t.doc_id = p.doc_id join terms on terms.key = p.key)
 """
 
+_ASSESSED = rf"""with {BITEXT}, t as (select *, regexp_extract_all(source_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as src, regexp_extract_all(target_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as tgt,
+  regexp_replace(target_text, '[^0-9]', '', 'g') as digits from bitext),
+f as (select doc_id, block_ord as seg_idx, target_text = '' as empty,
+  len([x for x in src if length(replace(x, ',', '')) >= 2 and not contains(digits, replace(x, ',', ''))]) > 0 as lost,
+  len([x for x in tgt if length(replace(x, ',', '')) >= 4 and not list_contains(src, replace(x, ',', ''))]) > 0 as made from t)
+select doc_id, seg_idx, cast(case when empty then {WEIGHTS['empty']} else (case when made then 6 else 0 end) + (case when lost then 6 else 0 end) end as int) as weight,
+  case when empty then 'empty' else concat_ws(',', case when made then 'foreign_numbers' end, case when lost then 'lost_numbers' end) end as reasons from f"""
+
 SQL = {
     "datum_extract": f"""with {_FACTS}
 select doc_id, block_ord, 's' as origin, kind, surface, normalized, cast(start as int) as start, 'critical' as severity from src
@@ -204,6 +212,11 @@ select doc_id, concat_ws(',', case when suspected then 'legacy_encoding' end, 'n
     "indian_group": f"with {BITEXT}, g as (select l_orderkey, l_linenumber, cast(cast(floor(l_extendedprice) as bigint) as varchar) as a from lineitem), h as (select *, length(a) as n from g) select l_orderkey, l_linenumber, case when n <= 3 then a when n <= 5 then a[1:n-3] || ',' || a[n-2:n] else a[1:n-5] || ',' || a[n-4:n-3] || ',' || a[n-2:n] end as grouped from h",
     "lost_numbers": rf"""with {BITEXT}, t as (select *, regexp_extract_all(source_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as src, regexp_replace(target_text, '[^0-9]', '', 'g') as digits from bitext)
 {_KEEP} array_to_string(list_sort(list_distinct([x for x in src if length(regexp_replace(x, '[.,]', '', 'g')) >= 2 and not contains(digits, regexp_replace(x, '[.,]', '', 'g'))]))[1:4], ',') as lost from t""",
+    "foreign_numbers": rf"""with {BITEXT}, t as (select *, regexp_extract_all(source_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as src, regexp_extract_all(target_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as tgt from bitext)
+{_KEEP} array_to_string([replace(x, ',', '') for x in tgt if length(replace(x, ',', '')) >= 4 and not list_contains(src, replace(x, ',', ''))][1:3], ',') as foreign_numbers from t""",
+    "last_resort": rf"""with {BITEXT} {_KEEP} {_s(V.NO_TRANSLATION)} as from_source,
+  {_trim(rf"regexp_replace(regexp_replace(source_text, '{_INDIC}+', ' ', 'g'), '\s+', ' ', 'g')")} || {_s(V.ILLEGIBLE_SUFFIX)} as stripped from bitext""",
+    "title_facts": f"""with {BITEXT} select doc_id, 'Rs. ' || max(amount) || '/-' as consideration, 'Individual (as recorded in the source)' as constitution, '' as deed_no, '' as deed_date, '' as stamp_duty from bitext group by 1""",
     "looks_transliterated": f"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{{2,}}') as w from documents)
 select doc_id, len(w) >= 12 and len([x for x in w if list_contains([{', '.join(map(_s, V.FUNCTION_WORDS))}], x)]) / greatest(len(w), 1) < 0.08 as transliterated from w""",
     "html_paragraphs": rf"""with t as (select page_id, unnest(regexp_split_to_array(html, '(?i)</?(?:p|h[1-6]|tr|table|br|li|ol|ul)\b[^>]*>')) as x, generate_subscripts(regexp_split_to_array(html, '(?i)</?(?:p|h[1-6]|tr|table|br|li|ol|ul)\b[^>]*>'), 1) as pos from pages),
@@ -253,13 +266,9 @@ select doc_id, key, string_agg(rendering, '|' order by rendering) as renderings
     "glossary_density": rf"""with {_TERMS}, w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+')) as w from documents),
 c as (select doc_id, count(*) as n_words, count(key) as n_hits from w left join terms on w = key where w <> '' group by 1)
 select *, round(1000 * n_hits / n_words, 6) as per_thousand from c""",
-    "assess_target": rf"""with {BITEXT}, t as (select *, regexp_extract_all(source_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as src, regexp_extract_all(target_text, '[0-9][0-9,]*(?:\.[0-9]+)?') as tgt,
-  regexp_replace(target_text, '[^0-9]', '', 'g') as digits from bitext),
-f as (select doc_id, block_ord as seg_idx, target_text = '' as empty,
-  len([x for x in src if length(replace(x, ',', '')) >= 2 and not contains(digits, replace(x, ',', ''))]) > 0 as lost,
-  len([x for x in tgt if length(replace(x, ',', '')) >= 4 and not list_contains(src, replace(x, ',', ''))]) > 0 as made from t)
-select doc_id, seg_idx, cast(case when empty then {WEIGHTS['empty']} else (case when made then 6 else 0 end) + (case when lost then 6 else 0 end) end as int) as weight,
-  case when empty then 'empty' else concat_ws(',', case when made then 'foreign_numbers' end, case when lost then 'lost_numbers' end) end as reasons from f""",
+    "assess_target": _ASSESSED,
+    "repair_queue": f"""with a as ({_ASSESSED}), q as (select *, row_number() over (partition by doc_id order by weight desc, seg_idx) as place from a where weight > 0)
+select doc_id, seg_idx, weight, cast(place as int) as place, cast((place - 1) // 8 as int) as batch from q where place <= 2""",
     "stub_judge": f"""with {TURNS}, l as (select doc_id, block_ord, length({_trim('source_text')}) as s, length({_trim('target_text')}) as t from turns),
 i as (select *, case when t = 0 then 'OMISSION:critical' when s > 0 and t / s < 0.35 then 'OMISSION:major' when s > 0 and t / s > 2.6 then 'ADDITION:minor' else '' end as issues from l)
 select doc_id, block_ord, issues in ('', 'ADDITION:minor') as faithful, issues from i""",
