@@ -40,7 +40,7 @@ def test_digits_groups_scripts(spark):
     assert one(spark, X.detect_script("t"), t="12 !") == "unknown"
     assert one(spark, X.gujarati_month("t"), t="માર્ચ") == 3
     assert one(spark, X.estimate_tokens("t"), t="") == 0
-    assert one(spark, X.normalize_whitespace("t"), t=" a  b \r\n\n\n c\t") == "a b\n\nc"
+    assert one(spark, X.normalize_whitespace("t"), t=" a  b \r\n\n\nc\t") == "a b\n\nc"
 
 
 def test_boundaries_are_ascii(spark):
