@@ -61,6 +61,7 @@ def repeated_passages(
         .filter("n > 1")
         .select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first")
     )
+    firsts = written(firsts, "firsts")  # a join of its own, whose largest keys Spark can split
     again = rows.join(firsts, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2")))
     again = again.filter(~place.eqNullSafe(F.col("first")))
     doc = Window.partitionBy("doc_id", "text_key")
