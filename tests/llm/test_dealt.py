@@ -242,6 +242,28 @@ def test_pseudo_likelihood_learns(spark, docs, empty, rows):
     assert pseudolikelihood.pseudo_likelihood(empty).count() == 0
 
 
+def test_pseudo_likelihood_is_of_each_word_not_of_its_class(spark):
+    """2,000 words seen once and 40 seen 20 times, all in hashed classes."""
+    common = [f"top{i}" for i in range(960)]
+    often, once = [f"often{i}" for i in range(40)], [f"once{i}" for i in range(2000)]
+    rows = [(i, " ".join(common)) for i in range(25)]
+    rows += [(100 + i, " ".join(often)) for i in range(20)] + [(200, " ".join(once)), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at_hand, joined = ({r.doc_id: r for r in pseudolikelihood.pseudo_likelihood(docs, at_hand=n).collect()} for n in (1 << 16, 500))
+    assert len(at_hand) == len(joined) == len(rows)
+    for i, r in at_hand.items():
+        assert joined[i].log_prob == pytest.approx(r.log_prob, abs=1e-2)
+    assert at_hand[100].log_prob / 40 > at_hand[200].log_prob / 2000 + 2
+
+    counts = pseudolikelihood.word_counts(docs)
+    known = pseudolikelihood.vocabulary_of(counts)[0]
+    (hashes, shares, _), bound = pseudolikelihood.shares_of(counts, known)
+    assert bound == 0 and len(hashes) == 3000
+    rare = ~np.isin(hashes, known)
+    sums = np.bincount((hashes[rare] % np.uint64(64)).astype(int), np.exp(shares[rare]), 64)
+    assert sums[sums > 0] == pytest.approx(np.ones((sums > 0).sum()))  # all words of a class share its probability
+
+
 # 7
 
 
