@@ -156,6 +156,11 @@ def test_line_dedup_equals_brute_force(rows, docs, empty):
     assert linededup.dedup_lines(docs).count() == docs.count()
 
 
+def test_a_word_left_out_is_found_where_several_places_have_its_key(spark):
+    docs = spark.createDataFrame([(1, "a x b c a x b"), (2, "a x b c a b")], "doc_id long, text string")
+    assert [(r.doc_id, r.line_no, r.near) for r in linededup.removed_lines(docs).collect()] == [(2, 0, True)]
+
+
 # 4
 
 
