@@ -161,6 +161,43 @@ def test_a_word_left_out_is_found_where_several_places_have_its_key(spark):
     assert [(r.doc_id, r.line_no, r.near) for r in linededup.removed_lines(docs).collect()] == [(2, 0, True)]
 
 
+def test_the_bound_grows_with_a_line_and_short_lines_are_compared_by_characters(spark):
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+
+    def changed(edits):
+        w = list(base)
+        for j in sorted(r.sample(range(0, 60, 2), edits), reverse=True):
+            if j % 3 == 0:
+                del w[j]
+            elif j % 3 == 1:
+                w.insert(j, f"new{j}")
+            else:
+                w[j] = f"x{j}"
+        return " ".join(w)
+
+    short = ["terms of use apply", "terms of use aply", "term of use apply", "all rights reserved", "chapter 11", "chapter 12", "abcdefghi", "abcdefghj"]
+    rows = [(0, " ".join(base))] + [(i, changed(i)) for i in range(1, 11)]
+    rows += [(100 + i, x) for i, x in enumerate(short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in linededup.removed_lines(docs).collect()}
+    assert {i for i in got if i >= 100} == {101, 102}
+    for i in range(1, 11):  # removed if and only if an earlier one is within a word in ten
+        near = any(10 * _edits(rows[i][1], rows[j][1]) <= max(len(x.split(" ")) for x in (rows[i][1], rows[j][1])) for j in range(i))
+        assert (i in got) == near, i
+    assert {2, 3, 4, 5} <= got
+
+
+def _edits(a, b):
+    a, b = a.split(" "), b.split(" ")
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, start=1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, start=1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 # 4
 
 
