@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,21 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: With this, shuffle files go as soon as the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """For queries whose results are taken at once: their shuffle files are of no more use and go with them."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
@@ -49,8 +67,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     spark = session(df)
     path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where written tables lie, for free().
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read any more."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            remove(session(table), path)
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -65,6 +98,14 @@ MOST_BITS = 1 << 27
 LEAST_BITS = 1 << 20
 
 
+def _bits_for(keys: DataFrame) -> int:
+    with tidy(session(keys)):
+        size, n = LEAST_BITS, keys.count()
+    while size < 64 * n and size < MOST_BITS:
+        size *= 2
+    return size
+
+
 def bitmap(keys: DataFrame):
     """The long column ``key`` as a bitmap of at least 64 bits a key, up to a fixed ceiling.
 
@@ -73,40 +114,39 @@ def bitmap(keys: DataFrame):
     """
     import numpy as np
 
-    size, n = LEAST_BITS, keys.count()
-    while size < 64 * n and size < MOST_BITS:
-        size *= 2
+    size = _bits_for(keys)
     cell, bit = f"shiftrightunsigned(key & {size - 1}L, 6)", "shiftleft(1L, cast(key & 63L as int))"
-    rows = keys.groupBy(F.expr(cell).alias("cell")).agg(F.bit_or(F.expr(bit)).alias("bits")).toArrow()
+    with tidy(session(keys)):
+        rows = keys.groupBy(F.expr(cell).alias("cell")).agg(F.bit_or(F.expr(bit)).alias("bits")).toArrow()
     out = np.zeros(size // 64, dtype=np.uint64)
     out[rows["cell"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
-#: Bits in one row of a bitmap table, as Spark's bitmap functions have it.
+#: Bits in one row of a bitmap table: 512 longs.
 _ROW_BITS = 32768
 
 
 def bitmap_table(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The column ``key`` as rows (cell, bits) of 4 kB; at most 16 MB in all."""
-    size, n = LEAST_BITS, keys.count()
-    while size < 64 * n and size < MOST_BITS:
-        size *= 2
+    """The column ``key`` as rows (cell, bits) of 512 longs; at most 16 MB in all."""
+    size = _bits_for(keys)
     place = f"(key & {size - 1}L)"
-    rows = keys.groupBy(F.expr(f"cast({place} div {_ROW_BITS} as int)").alias("cell")).agg(
-        F.expr(f"bitmap_construct_agg({place} % {_ROW_BITS})").alias("bits")
-    )
-    return written(rows, "bitmap"), size
+    words = keys.groupBy(F.expr(f"cast({place} div {_ROW_BITS} as int)").alias("cell"), F.expr(f"cast({place} % {_ROW_BITS} div 64 as int)").alias("i"))
+    words = words.agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63L as int)))").alias("word"))
+    in_row = _ROW_BITS // 64
+    none = session(keys).range(size // 64).select(F.expr(f"cast(id div {in_row} as int)"), F.expr(f"cast(id % {in_row} as int)"), F.lit(0).cast("long"))
+    every = words.union(none).groupBy("cell", "i").agg(F.bit_or("word").alias("word"))
+    rows = every.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("bits"))
+    return written(rows.select("cell", F.col("bits.word").alias("bits")), "bitmap"), size
 
 
 def maybe_in(df: DataFrame, column: str, bitmap: tuple[DataFrame, int]) -> DataFrame:
     """The rows whose key may be in the bitmap. Its size has a ceiling, so it is broadcast."""
     rows, size = bitmap
     place = f"({column} & {size - 1}L)"
-    byte = f"cast(conv(hex(substring(bits, cast(({place} % {_ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
     return (
         df.join(F.broadcast(rows), F.expr(f"cast({place} div {_ROW_BITS} as int)") == F.col("cell"))
-        .filter(f"(shiftright({byte}, cast({place} % 8 as int)) & 1) = 1")
+        .filter(f"(shiftrightunsigned(bits[cast({place} % {_ROW_BITS} div 64 as int)], cast({column} & 63L as int)) & 1L) = 1L")
         .select(*df.columns)
     )
 
@@ -125,7 +165,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     state = None
     while True:
-        print_of = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        with tidy(session(now)):
+            print_of = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if print_of == state or not print_of[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = print_of
@@ -133,6 +174,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
+        free(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.union(least).distinct(), "small")
+        free(large)

@@ -25,29 +25,6 @@ select dw.doc_id, cast(len(dw.w) as bigint) as n_words, cast(coalesce(n_hit, 0)
 from dw left join pos on pos.doc_id = dw.doc_id left join its on its.doc_id = dw.doc_id
 """
 
-OP10 = r"""
-with u as (
-  select doc_id, unnest(range(0, len(parts))) as unit_no, unnest(parts) as part
-  from (select doc_id, string_split(text, chr(10)) as parts from documents)),
-f as (
-  select *, trim(regexp_replace(lower(part), '[ \t\n\x0B\f\r]+', ' ', 'g')) as unit from u),
-w as (
-  select *, case when unit = '' then 0 else len(string_split(unit, ' ')) end as words,
-    coalesce(sum(length(part) + 1) over (partition by doc_id order by unit_no rows between unbounded preceding and 1 preceding), 0) as start
-  from f),
-k as (
-  select *, row_number() over (partition by doc_id order by unit_no) as nth,
-    row_number() over (partition by unit order by doc_id, unit_no) as seen,
-    first_value(doc_id) over (partition by unit order by doc_id, unit_no) as kept_doc_id,
-    first_value(start) over (partition by unit order by doc_id, unit_no) as kept_start
-  from w where unit <> ''),
-r as (select *, nth - row_number() over (partition by doc_id order by nth) as run from k where seen > 1),
-p as (select *, sum(words) over (partition by doc_id, run) as passage_words from r)
-select doc_id, cast(unit_no as int) as unit_no, cast(start as bigint) as start, cast(length(part) as int) as n_chars,
-  cast(words as int) as words, cast(passage_words as bigint) as passage_words, kept_doc_id, cast(kept_start as bigint) as kept_start
-from p where passage_words >= 50
-"""
-
 OP5 = """
 with p as (
   select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex,
@@ -64,6 +41,5 @@ from d
 
 ORACLES = {
     "op5_warc": OP5,
-    "op10_substring_dedup": OP10,
     "op1_decontaminate": OP1,
 }

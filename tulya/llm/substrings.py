@@ -1,43 +1,95 @@
-"""Repeated passages by hashing lines or paragraphs.
+"""Repeated passages by hashing lines and the pieces that long lines fall into.
 
-Units are normalised (lower case, blanks folded) and digested. Digests are
-grouped over all documents; the occurrence of the smallest rank stays and the
-others are repeats. Repeats that follow each other make up a passage, and a
-passage of enough words goes. What goes is reported with its place in the text
-as it was, so the cut can be made, checked and undone.
+Units are normalised (A-Z as a-z, blanks folded) and digested. Digests are grouped
+over all documents; the occurrence of the smallest rank stays and the others are
+repeats. What goes is reported with its place in the text as it was, so the cut can
+be made, checked and undone.
+
+A line of up to WINDOW words is one unit. A longer line is cut where its own words
+say so: of the hashes of any WINDOW words in a row the smallest starts a unit (the
+last of equals). So a passage falls into the same units wherever in a line it
+stands, but for the pieces at its two ends: of a passage of n words inside a line at
+least n - 2 * WINDOW + 1 are whole units.
+
+Repeats one after the other are a passage; those of too few words stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from . import kernels as K
+from .common import bitmap_table, free, maybe_in, texts, written
 
-#: How a text falls into units; the cut itself belongs to no unit.
-UNITS = {"line": "\n", "paragraph": "\n\n"}
+#: Words of a unit, at most.
+WINDOW = 12
+#: How a text falls into lines: a cut holds so many line feeds at least.
+UNITS = {"line": 1, "paragraph": 2}
 
 
-def _units(body: DataFrame, unit: str) -> DataFrame:
-    """doc_id, text_key, unit_no, start, n_chars, words, nth (among units with words) and digest."""
-    cut = UNITS[unit]
-    sep = cut.encode("unicode_escape").decode()
-    folded = F.trim(F.regexp_replace(F.lower("part"), r"\s+", " "))
-    rows = (
-        body.select("doc_id", "text_key", F.posexplode(F.expr(f"split(text, '{sep}', -1)")).alias("unit_no", "part"))
-        .select("doc_id", "text_key", "unit_no", F.char_length("part").alias("n_chars"), folded.alias("unit"))
-        .select(
-            "doc_id", "text_key", "unit_no", "n_chars",
-            F.when(F.col("unit") != "", F.xxhash64("unit")).alias("d1"),
-            F.when(F.col("unit") != "", F.expr("xxhash64('second', unit)")).alias("d2"),
-            F.expr("if(unit = '', 0, octet_length(unit) - octet_length(replace(unit, ' ', '')) + 1)").alias("words"),
-        )
-        .dropDuplicates(["doc_id", "text_key", "unit_no"])
-    )
-    before = Window.partitionBy("doc_id", "text_key").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("n_chars") + len(cut)).over(before), F.lit(0)).cast("long")
-    nth = F.coalesce(F.count("d1").over(before), F.lit(0))
-    return rows.withColumns({"start": start, "nth": nth}).filter("d1 is not null")
+def starts_of_units(hashes: np.ndarray, first_of_line: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which words start a unit: those that start a line, and the smallest of any window words of one line."""
+    n = len(hashes)
+    starts = first_of_line.copy()
+    if n < window:
+        return starts
+    line = np.cumsum(first_of_line)
+    # Compared as pairs (hash, -place), by a running minimum over the window's words.
+    best, where = hashes[: n - window + 1].copy(), np.arange(n - window + 1)
+    for j in range(1, window):
+        other = hashes[j : n - window + 1 + j]
+        less = other <= best
+        best = np.where(less, other, best)
+        where = np.where(less, np.arange(j, n - window + 1 + j), where)
+    inside = line[: n - window + 1] == line[window - 1 :]
+    starts[where[inside]] = True
+    return starts
+
+
+_ROWS = "doc_id {id}, text_key long, unit_no int, start long, n_chars int, words int, digest long"
+
+
+def _units(breaks: int):
+    """Rows of _ROWS of batches of (text, doc_id, text_key)."""
+    feed = np.uint8(10)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, data, off in K.pieces(batch.column(0)):
+                w = K.Words(data, off, K.BLANK_WORDS)
+                if not len(w.starts):
+                    continue
+                hashes = w.hashes()
+                new_row = np.concatenate([[True], w.row[1:] != w.row[:-1]])
+                feeds = np.concatenate([[0], np.cumsum(data == feed)])
+                between = feeds[w.starts[1:]] - feeds[w.ends[:-1]]
+                line = new_row | np.concatenate([[True], between >= breaks])
+                begins = np.flatnonzero(starts_of_units(hashes, line))
+                ends = np.append(begins[1:], len(hashes))  # the first word after each unit
+                nth = np.arange(len(hashes)) - np.repeat(begins, ends - begins)
+                parts = K.mix(hashes + (nth + 1).astype(np.uint64) * K._BASE)
+                digest = K.mix(np.add.reduceat(parts, begins) + (ends - begins).astype(np.uint64))
+                # A unit reaches to the next of its line, the last one to its last word.
+                last = np.append(line, True)[ends]
+                stop = np.where(last, w.ends[ends - 1], np.append(w.starts, 0)[ends])
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                rows = w.row[begins]
+                start = chars[w.starts[begins]] - chars[off[rows]]
+                fresh = np.flatnonzero(new_row[begins])
+                unit_no = np.arange(len(begins)) - np.repeat(fresh, np.diff(np.append(fresh, len(begins))))
+                taken = pa.array(rows + row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(taken), batch.column(2).take(taken), pa.array(unit_no.astype(np.int32)),
+                     pa.array(start.astype(np.int64)), pa.array((chars[stop] - chars[w.starts[begins]]).astype(np.int32)),
+                     pa.array((ends - begins).astype(np.int32)), pa.array(digest.view(np.int64))],
+                    ["doc_id", "text_key", "unit_no", "start", "n_chars", "words", "digest"])
+
+    return run
 
 
 def repeated_passages(
@@ -47,35 +99,46 @@ def repeated_passages(
 
     start and n_chars are in characters of the text as given (from 0). Of equal
     units that of the smallest (doc_id, text_key, unit_no) is kept, nulls first.
-    Repeats one after the other (blank units between them don't count) are a
-    passage; those of fewer than least_words words in all stay. With least_words
-    at 1 every repeated unit goes. Null texts have no units; rows with the same
-    id and text are one document; an empty table gives an empty result.
+    Repeats one after the other are a passage. As the ends of a passage of
+    least_words words needn't be whole units, passages whose whole units have
+    least_words - 2 * WINDOW + 1 words go; with less than 2 * WINDOW every repeated
+    unit does. Texts may be of any length. Null and blank texts have no units; rows
+    with the same id and text are one document; other columns are not looked at; an
+    empty table gives an empty result. Digests have 64 bits, so units that differ
+    meet about once in 10**19 pairs.
     """
-    body = texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    rows = written(_units(body, unit), "units")
+    floor = max(1, least_words - 2 * WINDOW + 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+    body = texts(docs, id_col, text_col).select("text", "doc_id", F.xxhash64("text").alias("text_key"))
+    rows = written(body.mapInArrow(_units(UNITS[unit]), _ROWS.format(id=kind)), "units")
     place = F.struct("doc_id", "text_key", "unit_no", "start")
     firsts = (
-        rows.groupBy("d1", "d2")
+        rows.groupBy("digest")
         .agg(F.min(place).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first")
+        .select(F.col("digest").alias("of"), "first")
     )
     firsts = written(firsts, "firsts")  # a join of its own, whose largest keys Spark can split
-    again = rows.join(firsts, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2")))
-    again = again.filter(~place.eqNullSafe(F.col("first")))
+    bits = bitmap_table(firsts.select(F.col("of").alias("key")))
+    again = maybe_in(rows, "digest", bits).join(firsts, F.col("digest") == F.col("of")).filter(~place.eqNullSafe(F.col("first")))
     doc = Window.partitionBy("doc_id", "text_key")
-    run = F.col("nth") - F.row_number().over(doc.orderBy("nth"))
-    again = again.withColumn("run", run)
+    # Rows with the same id and text repeat their units.
+    again = again.withColumn("before", F.lag("unit_no").over(doc.orderBy("unit_no")))
+    again = again.filter("before is null or before != unit_no")
+    run = F.col("unit_no") - F.row_number().over(doc.orderBy("unit_no"))
     in_run = Window.partitionBy("doc_id", "text_key", "run")
-    return (
-        again.withColumn("passage_words", F.sum("words").over(in_run))
-        .filter(F.col("passage_words") >= least_words)
+    found = (
+        again.withColumn("run", run)
+        .withColumn("passage_words", F.sum("words").over(in_run))
+        .filter(F.col("passage_words") >= floor)
         .select(
             "doc_id", "text_key", "unit_no", "start", "n_chars", "words", "passage_words",
             F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
         )
     )
+    found = written(found, "passages")
+    free(rows, firsts, bits[0])
+    return found
 
 
 def without(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
