@@ -112,6 +112,34 @@ def test_language_learns_held_out_rows_and_handles_odd_ones(spark, empty):
     assert (model.weights == 0).mean() > 0.5  # sparse
 
 
+def test_a_score_depends_on_its_own_text_only(spark):
+    import pyarrow as pa
+
+    texts = ["abc de", "", "x", "vwx yzv wxy", None, "a" * 3000, "éè ü"]
+    chars = lambda t: np.array([ord(c) for c in t.lower()], np.uint32)
+
+    def alone(t):
+        return language._places(chars(t), np.array([0, len(t)]))[0].tolist()
+
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        for _, points, off in language._pieces(order):
+            places, first = language._places(points, off)
+            assert [places[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [alone(t or "") for t in order]
+    # Brute force: an n-gram at each character and at the first closing blank.
+    grams = {}
+    for t in ("abc de", "c d", "bcx"):
+        framed = t + "   "
+        own = np.array(alone(t)).reshape(-1, 3)
+        assert len(own) == len(t) + 1
+        for i, row in enumerate(own):
+            for n, place in zip(language.ORDERS, row, strict=True):
+                assert grams.setdefault(framed[i : i + n] + str(n), place) == place
+    docs = spark.createDataFrame([(i, t, "aa" if i % 2 else "bb") for i, t in enumerate(texts * 5)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    told = [{(r.doc_id, r.lang_pred, r.score) for r in language.identify(docs.repartition(n), model).collect()} for n in (1, 7)]
+    assert told[0] == told[1] and pa
+
+
 def test_temperature_makes_overconfident_scores_honest():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, 4000)
@@ -217,6 +245,45 @@ def test_mix_meets_targets_and_repeats_itself(spark, rows, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_equals_brute_force(spark, rows, docs):
+    sized = [(i, s, len(blank_words(t)), t) for i, t, _, s in (r[:4] for r in rows)]
+    keys = docs.selectExpr("doc_id", "text", "xxhash64(text) as k", "xxhash64(7, cast(doc_id as string), xxhash64(text)) as u").collect()
+    u_of = {(r.doc_id, r.text): (((r.u % 2**64) >> 11) + 0.5) / 2**53 for r in keys}
+    sources = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, s or ""))
+    total = [sum(n for _, s2, n, _ in sized if s2 == s) for s in sources]
+    due = mixing.targets(list(zip(sources, total, strict=True)), (5, 2, 1), 3)
+    got = {(r.doc_id, r.text_key): r.copies for r in mixing.mix(docs).collect()}
+    key_of = {(r.doc_id, r.text): r.k for r in keys}
+    unequal = set()
+    for source, size, target in zip(sources, total, due, strict=True):
+        own = [r for r in sized if r[1] == source and r[2]]
+        m = [max(1, int(131072 * n * len(own) / (n * len(own) + size))) for _, _, n, _ in own]
+        if target >= 3 * size:
+            rate = float("inf")
+        else:  # the rate that gives the target, by halving
+            lo, hi = 0.0, 3.0 * 131072
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(n * min(3, mid * x) for (_, _, n, _), x in zip(own, m, strict=True)) < target else (lo, mid)
+            rate = hi
+        copies = [min(3, rate * x) for x in m]
+        left = target - sum(int(c + 1e-6) * n for c, (_, _, n, _) in zip(copies, own, strict=True))
+        ranked = []
+        for c, (i, _, n, t) in zip(copies, own, strict=True):
+            p, u = c - int(c + 1e-6), u_of[i, t]
+            if p > 1e-6:
+                unequal.add(round(p, 6))
+                ranked.append((u * (1 - p) / (u * (1 - p) + p * (1 - u)), i, t, n, int(c + 1e-6)))
+        taken = 0
+        for _, i, t, n, whole in sorted(ranked, key=lambda r: r[0]):
+            same = sum(1 for r in own if r[0] == i and r[3] == t)
+            if same > 1 or taken + n > left:
+                break  # the cut; ties and the best fit are in other tests
+            taken += n
+            assert got[i, key_of[i, t]] == whole + 1
+    assert len(unequal) > 20
+
+
 def test_targets_stop_at_three_times_a_source():
     got = mixing.targets([("a", 10), ("b", 100), ("c", 0), (None, 1000)], (5, 2, 1), 3)
     assert got[0] == 30 and got[2] == 0 and got[1] <= 300 and sum(got) == pytest.approx(1110)
@@ -412,33 +479,44 @@ def test_a_gradient_of_copies_is_linked_exactly(spark):
 # 10
 
 
+def _hashes(words):
+    import pyarrow as pa
+
+    _, _, data, off = next(kernels.pieces(pa.array([" ".join(words)])))
+    return kernels.Words(data, off, kernels.BLANK_WORDS).hashes().tolist()
+
+
+def _units_of(text):
+    """(start, n_chars, words as text) of the units of a text, by the definition."""
+    out, at, size = [], 0, substrings.WINDOW
+    for line in text.split("\n"):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        words = [line[a:b].translate(LOWER) for a, b in spans]
+        h = _hashes(words) if words else []
+        begins = {min(range(i, i + size), key=lambda j, h=h: (h[j], -j)) for i in range(len(h) - size + 1)}
+        begins = sorted(begins | {0}) if words else []
+        for i, j in zip(begins, [*begins, len(words)][1:], strict=True) if words else ():
+            end = spans[j][0] if j < len(words) else spans[-1][1]
+            out.append((at + spans[i][0], end - spans[i][0], " ".join(words[i:j])))
+        at += len(line) + 1
+    return out
+
+
 def test_repeated_passages_equal_brute_force(rows, docs, empty):
     for least in (1, 50):
+        floor = max(1, least - 2 * substrings.WINDOW + 1)
         distinct = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
-        first, units = {}, []
+        first, want = {}, set()
         for i, t in distinct:
-            at = 0
-            for n, line in enumerate(t.split("\n")):
-                x = re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
-                if x:
-                    units.append((i, n, at, len(line), len(x.split(" ")), x))
-                    first.setdefault(x, (i, n))
-                at += len(line) + 1
-        want, run = set(), []
-
-        def close(run=run, want=want, least=least):
-            if sum(u[4] for u in run) >= least:
-                want.update((u[0], u[1], u[2], u[3]) for u in run)
-            run.clear()
-
-        for u in units:
-            if run and run[-1][0] != u[0]:
-                close()
-            if first[u[5]] == (u[0], u[1]):
-                close()
-            else:
-                run.append(u)
-        close()
+            run = []
+            for n, (start, size, unit) in enumerate([*_units_of(t), (0, 0, None)]):
+                again = unit is not None and first.setdefault(unit, (i, n)) != (i, n)
+                if again:
+                    run.append((i, n, start, size, len(unit.split(" "))))
+                    continue
+                if sum(u[4] for u in run) >= floor:
+                    want.update(u[:4] for u in run)
+                run = []
         found = substrings.repeated_passages(docs, least_words=least)
         assert {(r.doc_id, r.unit_no, r.start, r.n_chars) for r in found.collect()} == want and want
     texts = {r[0]: r[1] for r in rows}
@@ -448,6 +526,21 @@ def test_repeated_passages_equal_brute_force(rows, docs, empty):
     assert substrings.repeated_passages(empty).count() == 0
 
 
+def test_a_passage_is_found_wherever_in_a_line_it_stands(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    passage = [word() for _ in range(55)]
+    rows = []
+    for i in range(30):
+        own = [word() for _ in range(200)]
+        at = r.randrange(200)
+        rows.append((i, " ".join(own[:at] + (passage if i % 2 else []) + own[at:]), "same name"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, unit_no string")
+    found = substrings.repeated_passages(docs).groupBy("doc_id").agg({"words": "sum"}).collect()
+    assert {f.doc_id for f in found} == set(range(3, 30, 2))
+    assert all(55 - 2 * substrings.WINDOW < f["sum(words)"] <= 55 for f in found)
+
+
 # Kernels
 
 
