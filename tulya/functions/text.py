@@ -168,13 +168,18 @@ def estimate_tokens(c: Column | str) -> Column:
     return F.when(col(c).isNull() | (col(c) == ""), F.lit(0)).otherwise(guess).cast("long")
 
 
+def without_marks(c: Column | str) -> Column:
+    """The text with a blank for each of the two control characters that mark places while it is cut."""
+    return F.when(F.contains(col(c), F.lit("\u0001")) | F.contains(col(c), F.lit("\u0002")), F.translate(col(c), "\u0001\u0002", "  ")).otherwise(col(c))
+
+
 def split_sentences(c: Column | str) -> Column:
     """Sentences as an array: cut after . ! ? and danda before blanks, and at line ends.
 
     Abbreviations (as whole tokens) keep their dots: these are hidden behind a
-    control character while the text is cut.
+    control character while the text is cut. The text's own are blanks.
     """
-    text = col(c)
+    text = without_marks(c)
     for word in sorted({w for w in V.ABBREVIATIONS if "." in w}, key=lambda w: (-len(w), w)):
         groups = "(" + ")\\.(".join(p for p in word.split(".")) + ")"
         back = "".join(f"${i + 1}\u0001" if i < word.count(".") else f"${i + 1}" for i in range(word.count(".") + 1))

@@ -36,7 +36,8 @@ def spans(text: Column, pattern: str) -> Column:
     """All matches as array of struct(start, end, surface), start from 0.
 
     Matches are marked with control characters, the text is cut at these, and one
-    fold over the pieces' lengths gives the places.
+    fold over the pieces' lengths gives the places. The text must hold none of these
+    itself (see text.without_marks).
     """
     parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
     kind = "array<struct<start:int,end:int,surface:string>>"
@@ -200,9 +201,10 @@ def extract_datums(blocks: DataFrame, text_col: str, origin: str, keys: list[str
 
     ord is the order of place in the text (of equal places, that of the kinds).
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    blocks = blocks.select(*keys, X.without_marks(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+    text = F.col("_text")
     found = F.concat(facts(text), names(text)) if with_names else facts(text)
-    cut = blocks.select(*keys, text.alias("_text"), found.alias("_f"))
+    cut = blocks.select(*keys, "_text", found.alias("_f"))
     rows = cut.select(*keys, "_text", F.posexplode(F.array_sort("_f")).alias("ord", "d"))
     severity = F.element_at(F.create_map(*(F.lit(x) for kv in _SEVERITY.items() for x in kv)), F.col("d.kind"))
     return rows.select(
@@ -276,8 +278,7 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     in_block = Window.partitionBy(*keys)
     doubtful = F.max((F.col("side") == "s") & (F.col("kind") == "date") & F.col("normalized").startswith("AMBIG:"))
     both = both.withColumn("_fold", F.col("kind").isin(ordered) | ((F.col("kind") == "date") & doubtful.over(in_block)))
-    both = both.persist()  # either way of matching reads it; what is lost is extracted again
-
+    # Either way of matching reads the exchange by block that the window asks for: Spark makes it once.
     plain = both.filter("not _fold").drop("_fold")
     plain = plain.withColumn("key", match_key(F.col("kind"), F.col("surface"), F.col("normalized")))
     of_kind = Window.partitionBy(*keys, "kind")

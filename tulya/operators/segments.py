@@ -20,17 +20,16 @@ def build_segments(blocks: DataFrame) -> DataFrame:
     blocks: doc_id, block_ord, block_id, kind, page_no, source_text. A sentence
     without Indic script passes through if its document has any Gujarati.
     """
-    some = blocks.filter(~F.col("kind").isin(NOT_TRANSLATED)).withColumn("source_text", X.trimmed("source_text"))
+    gujarati = F.max(X.is_gujarati("source_text")).over(Window.partitionBy("doc_id"))  # of all blocks; the order below needs the same exchange
+    some = blocks.withColumn("has_gujarati", gujarati).filter(~F.col("kind").isin(NOT_TRANSLATED)).withColumn("source_text", X.trimmed("source_text"))
     some = some.filter("source_text != ''")
     sentences = X.split_sentences("source_text")
     cut = some.select("*", F.when(F.size(sentences) > 0, sentences).otherwise(F.array("source_text")).alias("s"))
-    rows = cut.select("doc_id", "block_id", "block_ord", "kind", "page_no", F.posexplode("s").alias("pos", "source"))
-    gujarati = F.max(X.is_gujarati("source_text")).alias("has_gujarati")
-    docs = blocks.groupBy(F.col("doc_id").alias("_doc")).agg(gujarati)
+    rows = cut.select("doc_id", "block_id", "block_ord", "kind", "page_no", "has_gujarati", F.posexplode("s").alias("pos", "source"))
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_ord", "pos")) - 1
-    out = rows.withColumn("seg_idx", idx).join(docs, F.col("doc_id") == F.col("_doc"))
+    rows = rows.withColumn("seg_idx", idx)
     passthrough = ~F.col("source").rlike(X.INDIC) & F.col("has_gujarati")
-    return out.withColumn("passthrough", passthrough).drop("_doc", "has_gujarati", "pos")
+    return rows.withColumn("passthrough", passthrough).drop("has_gujarati", "pos")
 
 
 def packed(sizes: Column, most_tokens: int = CHUNK_TOKENS, most_items: int = CHUNK_SEGMENTS) -> Column:

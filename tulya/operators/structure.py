@@ -72,7 +72,9 @@ def detect_structure(pages: DataFrame) -> DataFrame:
     """doc_id, block_ord, block_id, page_no, kind, source_text, clause_label, clause_depth, synthetic.
 
     Lines in order, one footer with the page's number after every page but the
-    first. Documents are independent of each other; one is put in order at a time.
+    first. If a document's first line names a court it stands there twice, as the
+    court's name and as what it is as a line. Documents are independent of each
+    other; one is put in order at a time.
     """
     lines = page_lines(pages)
     mean = F.avg(F.length("line")).over(Window.partitionBy("doc_id", "page_no"))
@@ -92,6 +94,12 @@ def detect_structure(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("clause_label"), F.lit(None).cast("int").alias("clause_depth"),
         F.lit(True).alias("synthetic"),
     )
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "pos"))
+    named = F.col("source_text").rlike(java(R.COURT_NAME)) & (F.length("source_text") < R.MOST["court_name"])
+    courts = body.withColumn("_first", first).filter(F.col("_first") == 1).filter(named).drop("_first").withColumns({
+        "pos": F.lit(-1), "kind": F.lit("court_name"), "clause_label": F.lit(None).cast("string"), "clause_depth": F.lit(None).cast("int"),
+    })
+    body = body.unionByName(courts)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "pos")) - 1
     out = body.unionByName(feet).withColumn("block_ord", order)
     return out.withColumn("block_id", F.concat(F.lit("b"), (F.col("block_ord") + 1).cast("string"))).drop("pos")

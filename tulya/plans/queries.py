@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import control, datums, facts, jobs, judge, report, score, segments, structure, terms, verify
+from ..operators import control, datums, facts, jobs, judge, report, score, segments, store, structure, terms, verify
 from ..operators.english import normalize_target
 from ..sources import readers, writers
-from .views import SEEDED, bitext, numbered, table, turns
+from .views import SEEDED, SEEDED_GUJARATI, bitext, numbered, spread, table, turns
 
 KEYS = ["doc_id", "block_ord"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 # Data fidelity
@@ -31,8 +31,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     b = bitext(spark, d)
-    source = datums.extract_datums(b, "source_text", "s", KEYS, with_names=False)
-    target = datums.extract_datums(b, "target_text", "t", KEYS, with_names=False)
+    source = datums.extract_datums(b, "source_text", "s", KEYS)
+    target = datums.extract_datums(b, "target_text", "t", KEYS)
     return datums.match_datums(source, target, b.select(*KEYS, (F.trim("target_text") == "").alias("target_blank")), KEYS)
 
 
@@ -44,7 +44,7 @@ def _findings(spark: SparkSession, d: str, matched: DataFrame | None = None) ->
 @query
 def datum_extract(spark: SparkSession, d: str) -> DataFrame:
     b = bitext(spark, d)
-    both = [datums.extract_datums(b, f"{s}_text", s[0], KEYS, with_names=False) for s in ("source", "target")]
+    both = [datums.extract_datums(b, f"{s}_text", s[0], KEYS) for s in ("source", "target")]
     return both[0].unionByName(both[1]).select(*KEYS, "origin", "kind", "surface", "normalized", "start", "severity")
 
 
@@ -59,19 +59,36 @@ def datum_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """All five parts of the score: facts, terms, coverage, verdicts of the offline judge, and page confidence."""
     b = bitext(spark, d)
     m = _matched(spark, d)
-    p = score.penalties(_findings(spark, d, m))
-    n = m.filter("side = 's'").groupBy("doc_id").agg(F.count("*").alias("n_datums"))
-    c = verify.coverage(b).withColumnRenamed("ratio", "coverage")
-    none = {"n_terms": F.lit(0), "mean_ocr": F.lit(None).cast("double"), "available": F.lit(False), "complete": F.lit(False),
-            "faithful": F.lit(True), "blocks_judged": F.lit(0), "blocks_total": F.lit(0), "n_verdicts": F.lit(0)}
-    return score.score(c.join(n, "doc_id", "left").join(p, "doc_id", "left").withColumns(none))
+    glossary = terms.glossary(spark, SEEDED_GUJARATI)
+    plan = terms.term_plan(terms.term_scan(b, glossary, "source_text"), glossary)
+    kept = terms.term_findings(terms.term_compliance(plan, b))
+    verdicts = b.withColumn("v", judge.offline_verdict(F.col("source_text"), F.col("target_text"))).select(*KEYS, "v.faithful", "v.issues")
+    found = _findings(spark, d, m).unionByName(kept).unionByName(judge.judge_findings(verdicts).select(*KEYS, "check", "category", "severity", "title"))
+    pages = numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.when((F.col("l_linenumber") % 5).isin(1, 3), 1.0).otherwise(0.5).alias("confidence"))
+    parts = [
+        m.groupBy("doc_id").agg(
+            F.count_if(F.col("side") == "s").alias("n_datums"),
+            F.count_if((F.col("side") == "s") & F.col("status").isin("changed", "missing")).alias("n_changed"),
+        ),
+        plan.groupBy("doc_id").agg(F.sum("cnt").alias("n_terms")),
+        kept.groupBy("doc_id").agg(F.count("*").alias("n_term_findings")),
+        judge.judge_coverage(b, verdicts).withColumn("n_verdicts", F.col("blocks_judged")),
+        store.mean_confidence(pages).select("doc_id", "mean_ocr"), score.penalties(found),
+    ]
+    out = verify.coverage(b).withColumnRenamed("ratio", "coverage").withColumn("n_segments", F.col("n_blocks"))
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    return score.score(out)
 
 
 @query
 def fidelity_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("doc_id", "datum_integrity", "coverage_score", "semantic", "total", "grade", "certified_ready")
+    return _scored(spark, d).select(
+        "doc_id", "datum_integrity", "terminology", "coverage_score", "semantic", "ocr_confidence", "total", "grade", "certified_ready"
+    )
 
 
 @query
@@ -81,7 +98,7 @@ def score_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mechanical_checks(spark: SparkSession, d: str) -> DataFrame:
-    more = {c: F.lit(0) for c in ("n_preflight", "n_changed", "n_term_findings", "n_segments", "n_residue")} | {"exact": F.lit(True)}
+    more = {c: F.lit(0) for c in ("n_preflight", "n_residue")} | {"exact": F.lit(True)}
     return score.mechanical_checks(_scored(spark, d).withColumns(more))
 
 
@@ -221,9 +238,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def line_classify(spark: SparkSession, d: str) -> DataFrame:
-    lines = _documents(spark, d).select("doc_id", F.explode(F.filter(F.transform(F.split("text", "\n+", -1), X.trimmed), lambda x: x != "")).alias("line"))
-    mean = lines.groupBy("doc_id").agg(F.avg(F.length("line")).alias("mean"))
-    kinds = lines.join(mean, "doc_id").select("doc_id", structure.line_kind(F.col("line"), F.col("mean")).alias("kind"))
+    lines = F.filter(F.transform(F.split("text", "\n+", -1), X.trimmed), lambda x: x != "")
+    docs = _documents(spark, d).select("doc_id", lines.alias("lines")).filter("size(lines) > 0")
+    mean = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.size("lines")
+    rows = docs.select("doc_id", mean.alias("mean"), F.explode("lines").alias("line"))
+    kinds = rows.select("doc_id", structure.line_kind(F.col("line"), F.col("mean")).alias("kind"))
     return kinds.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
@@ -463,11 +482,14 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import ingest
 
     schema = table(spark, d, "documents").schema
-    base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     name = "documents.parquet"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(d) if not _is_folder(spark, f"{d}/{name}") else ingest.files(spark, f"{d}/{name}", schema)
     q = ingest.each_batch(stream, lambda b: b.select("doc_id", X.estimate_tokens("text").alias("tokens")), f"{base}/out", f"{base}/state")
     q.awaitTermination()
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.parquet(f"{base}/out").select("doc_id", "tokens")
 
 

@@ -14,11 +14,23 @@ SEEDED = [
     ("under", "hunder", "procedure", False, [], []),
 ]
 
+#: A dictionary for the Gujarati side of bitext.
+SEEDED_GUJARATI = [("રકમ", "amount (sum)", "general", False, ["sum"], [])]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows on all cores, where a table lies in fewer parts than there are; a table of many parts is left as it is.
+
+    Work on a text takes far longer than to move it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_commas(digits: Column) -> Column:
     from ..functions.text import indian_group
 

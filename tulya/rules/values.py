@@ -82,3 +82,6 @@ DATUM_LABELS = {
     "person_name": "Name", "party_name": "Party name", "place": "Place", "address_pin": "PIN code",
     "count_phrase": "Count", "number": "Number",
 }
+
+#: Words that scale a number.
+SCALES = {"લાખ": 100_000, "લખ": 100_000, "કરોડ": 10_000_000, "કરોડો": 10_000_000, "અરબ": 1_000_000_000, "સહસ્ર": 1_000}
