@@ -72,7 +72,7 @@ def judge_pairs(prompt: Column) -> Column:
     """array of struct(id, source, target): the pairs that a prompt shows."""
     parts = [F.regexp_extract_all(prompt, F.lit(_PAIR), F.lit(i)) for i in (1, 2, 3)]
     rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("id", "source", "target"), strict=True)))
-    return F.transform(rows, lambda r: F.struct(r["0"].cast("long").alias("id"), X.trimmed(r["1"]).alias("source"), X.trimmed(r["2"]).alias("target")))
+    return F.transform(rows, lambda r: F.struct(r["id"].cast("long").alias("id"), X.trimmed(r["source"]).alias("source"), X.trimmed(r["target"]).alias("target")))
 
 
 def reconciled(verdicts: DataFrame, asked: DataFrame, keys: list[str], total_col: str = "n_blocks") -> DataFrame:

@@ -28,9 +28,11 @@ def run(
     """Tables blocks, segments, datums, findings, verdicts, scores, reports and narratives of a batch.
 
     pages: doc_id, page_no, kind, text, confidence. translate adds target to
-    segments (the offline renderer does by default); keep may write a table, by its
-    name, and read it again, so that none is worked out twice. Documents never wait
-    for each other: all steps are joins and aggregations by document.
+    segments (the offline renderer does by default); keep writes a table, by its
+    name, and reads it again, so that none is worked out twice and plans stay small
+    (writers.kept does; without it the plan of the reports is too large for more
+    than a look). Documents never wait for each other: all steps are joins and
+    aggregations by document.
     """
     blocks = keep(structure.detect_structure(pages), "blocks")
     confidence = pages.filter("confidence is not null").groupBy("doc_id").agg(F.avg("confidence").alias("mean_ocr"))

@@ -82,7 +82,7 @@ def _page_text(stream: bytes) -> str:
 def _streams(content: bytes) -> dict[int, bytes]:
     """Bodies of the streams by object number, inflated where they are deflated."""
     found = {}
-    for m in re.finditer(rb"(\d+)\s+\d+\s+obj(.*?)stream\r?\n(.*?)\r?\nendstream", content, re.S):
+    for m in re.finditer(rb"(\d+)\s+\d+\s+obj((?:(?!endobj).)*?)stream\r?\n(.*?)\r?\nendstream", content, re.S):
         body = m[3]
         if b"/FlateDecode" in m[2]:
             try:
