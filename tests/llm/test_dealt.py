@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tulya.llm import decontaminate, kernels, kneserney, language, linededup, minhash, mixing, pseudolikelihood, rules, substrings, warc
@@ -405,11 +406,67 @@ def test_forest_isolates_odd_rows():
 # 8
 
 
-def test_kneser_ney_adds_up_and_prefers_what_it_saw(spark, docs, empty):
-    grams = np.array([1, 2, 5, 48**3 + 1, 48**3 + 2])
-    logs = kneserney.log_table(grams, np.array([4, 2, 1, 1, 3]))
-    sums = np.exp2(logs.reshape(-1, kneserney.SYMBOLS)[[0, 1, 48**2, 99]].astype(float)).sum(axis=1)
-    assert sums == pytest.approx(np.ones(4), abs=1e-3)
+def _perplexities(trained, scored):
+    """Modified Kneser-Ney by its definition, over lists of symbols."""
+    def grams(t):
+        s = ["^"] * 3 + list(re.sub("[ \t-\r]+", " ", t or "")) + ["^"]
+        return [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
+
+    levels = {4: Counter(g for t in trained for g in grams(t))}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts = {k: kneserney.discounts(*(list(c.values()).count(i) for i in range(1, 5))) for k, c in levels.items()}
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        counts = levels[len(g)]
+        after = [n for h, n in counts.items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        cut = lambda n: cuts[len(g)][min(n, 3) - 1] if n else 0
+        return (counts[g] - cut(counts[g]) + sum(map(cut, after)) * p(g[1:])) / sum(after)
+
+    assert sum(p((*"abc", s[0])) for s in levels[1]) + p((*"abc", "never")) == pytest.approx(1)
+    return [2 ** -np.mean([np.log2(p(g)) for g in grams(t)]) for t in scored]
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    r = random.Random(4)
+    odd = [None, "", "a", " \n\t a  b ", "વકીલ વ", "привет", "\U0001f600\U00020000x", "zzzz" * 90]
+    texts = ["".join(r.choice("abcd \nવએ\U0001f600") for _ in range(r.randint(1, 60))) for _ in range(60)] + odd
+    labels = spark.createDataFrame([(i, 1) for i in range(45)], "doc_id long, quality int")
+    some = spark.createDataFrame([(i, t, "xx", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, gram long")
+    kept_back = {r.doc_id for r in some.filter(kneserney._held_back("doc_id")).collect()}
+    expected = _perplexities([t for i, t in enumerate(texts[:45]) if i not in kept_back], texts)
+    out = {r.doc_id: r.perplexity for r in kneserney.perplexity_verdicts(some.repartition(1), labels).collect()}
+    assert [out[i] for i in range(len(texts))] == pytest.approx(expected)
+
+
+def test_grams_of_blocks_chunks_and_large_alphabets(monkeypatch):
+    texts = ["ab", None, "", "a  b", "x" * 500, "".join(map(chr, range(0x3400, 0x3400 + 300))), "ab"]
+    column = pa.array(texts)
+    whole = kneserney.Grams(column)
+    some, n = whole.distinct()
+    strings = Counter(dict(zip(whole.strings(some).to_pylist(), n.tolist(), strict=True)))
+    e = chr(kneserney.EDGE)
+    framed = [e * 3 + re.sub(" +", " ", t or "") + e for t in texts]
+    assert strings == Counter(f[i : i + 4] for f in framed for i in range(len(f) - 3))
+    monkeypatch.setattr(kneserney, "CHUNK", 7)
+    small = kneserney.Grams(column)
+    assert np.array_equal(np.concatenate(list(small.numbers())), np.concatenate(list(whole.numbers())))
+    points = [c for c in range(1, 0xD800) if c != kneserney.EDGE] + list(range(0x10000, 0x14000))
+    monkeypatch.setattr(kneserney, "CHUNK", 1 << 20)
+    many = kneserney.Grams(pa.array(["".join(map(chr, points)), "ab"]))
+    assert many.pairs is not None
+    some, n = many.distinct()
+    assert n.sum() == many.counts.sum() and len(set(many.strings(some).to_pylist())) == len(some)
+    monkeypatch.setattr(kneserney, "BLOCK", 100)
+    batches = [pa.record_batch([pa.array(texts[i : i + 3])], ["t"]) for i in (0, 3, 6)]
+    assert sum((b.column(0).to_pylist() for b in kneserney._blocks(iter(batches))), []) == texts
+
+
+def test_perplexity_prefers_what_it_saw(spark, docs, empty):
     r = random.Random(0)
     text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(30))
     rows = [(i, text("abcd") if i < 40 else text("@#$~"), "xx") for i in range(50)] + [(60, None, None), (61, "", "xx")]

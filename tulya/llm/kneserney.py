@@ -1,154 +1,247 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model is of character n-grams (order 4) over a closed set of symbols: the
-commonest characters of trusted text, one for all others, one for blanks and one
-for a text's edges. Counts of trusted documents are joined by n-gram in
-shards of Spark's shuffle; the table of probabilities that follows from them has
-at most SYMBOLS ** ORDER cells whatever the corpus size, so documents meet it map
-side. Each language has a cut of its own: a quantile of the perplexities of its
-trusted documents.
+The model is of character n-grams (order 4) over all characters of trusted text;
+characters that it lacks share one further symbol at the lowest order. Counts of
+trusted documents are kept as tables sharded by n-gram, and so are the orders
+below, totals by context and probabilities. Documents meet them by joins: in
+blocks of some megabytes each gives its distinct n-grams, these are joined with
+the model, and a block's texts are scored with what comes back. Nothing of the
+model is gathered but four numbers an order. Each language has a cut of its own:
+a quantile of the perplexities of its trusted documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bitmap_table, maybe_in, session, written
+from .common import bitmap_table, free, maybe_in, session, tidy, written
 
 ORDER = 4
-#: Edge, blank, other and the commonest characters; 48 ** 4 cells of 4 bytes are 21 MB.
-SYMBOLS = 48
-EDGE, BLANK, OTHER = 0, 1, 2
+#: Stands before and after a text; U+FDD0 is no character. In a text it is read as U+FFFD, and so is U+0000.
+EDGE = 0xFDD0
+#: Bytes of text scored together, unless one text alone has more; n-grams handled at a time.
+BLOCK = 8 << 20
+CHUNK = 1 << 22
 #: Perplexities that a language's cut lies above, as a share of its trusted documents.
 QUANTILE = 0.97
 
 
-def _points(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, code points and offsets of runs of rows."""
-    for start, _, data, off in K.pieces(column):
-        lead = (data & 0xC0) != 0x80
-        first = np.concatenate([[0], np.cumsum(lead)])[off]
-        yield start, np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), first
-
-
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x110000, np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about BLOCK bytes of their first column."""
+    held, size = [], 0
     for batch in batches:
-        for _, chars, _ in _points(batch.column(0)):
-            total += np.bincount(chars, minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["point", "n"])
-
-
-def symbol_table(common: list[int]) -> np.ndarray:
-    """Symbol of every code point."""
-    table = np.full(0x110000, OTHER, np.uint8)
-    for i, point in enumerate(common):
-        table[point] = OTHER + 1 + i
-    table[[0x20, *range(0x09, 0x0E)]] = BLANK
-    return table
-
-
-def _grams(chars: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of each text and at its end; rows' first (one more than rows).
-
-    ORDER - 1 edges stand before a text, one after it. Runs of blanks are one.
+        ends = K.buffers(batch.column(0))[1] + 16 * np.arange(batch.num_rows + 1)
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, ends[at] + BLOCK - size, side="right")) - 1
+            if end <= at and not held:
+                end = at + 1
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(ends[end] - ends[at])
+                at = end
+            if at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class Grams:
+    """The n-grams that end at each character of each text and at its end, as numbers of this block.
+
+    ORDER - 1 edges stand before a text, one after it. Runs of blanks are one space.
     """
-    n = len(first) - 1
-    symbols = table[chars]
-    keep = np.ones(len(symbols), dtype=bool)
-    keep[1:] = (symbols[1:] != BLANK) | (symbols[:-1] != BLANK)
-    keep[first[:-1][first[:-1] < len(symbols)]] = True
-    left = np.concatenate([[0], np.cumsum(keep)])[first]
-    symbols = symbols[keep]
-    size = np.diff(left) + ORDER
-    start = np.concatenate([[0], np.cumsum(size)])
-    framed = np.full(start[-1], EDGE, np.int64)
-    framed[np.arange(len(symbols)) + ORDER - 1 + ORDER * np.repeat(np.arange(n), np.diff(left))] = symbols
-    gram = np.zeros(max(0, len(framed) - ORDER + 1), np.int64)
-    for i in range(ORDER):
-        gram = gram * SYMBOLS + framed[i : i + len(gram)]
-    inside = np.ones(len(gram), dtype=bool)
-    for i in range(1, ORDER):  # n-grams that begin in one text and end in the next
-        at = start[1:-1] - i
-        inside[at[at < len(gram)]] = False
-    counts = np.diff(left) + 1
-    return gram[inside], np.concatenate([[0], np.cumsum(counts)])
-
-
-def _count(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int32)
-        for batch in batches:
-            for _, chars, first in _points(batch.column(0)):
-                own, n = np.unique(_grams(chars, first, table.value)[0], return_counts=True)
-                total[own] += n.astype(np.int32)
-        some = np.flatnonzero(total)
+
+    def __init__(self, column: pa.Array):
+        data, off = K.buffers(column)
+        first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
+        symbols = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+        symbols[(symbols >= 0x09) & (symbols <= 0x0D)] = 0x20
+        symbols[(symbols == 0) | (symbols == EDGE)] = 0xFFFD
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[1:] = (symbols[1:] != 0x20) | (symbols[:-1] != 0x20)
+        keep[first[:-1][first[:-1] < len(symbols)]] = True
+        left = np.concatenate([[0], np.cumsum(keep)])[first]
+        symbols = symbols[keep]
+        n = len(first) - 1
+        framed = np.full(len(symbols) + ORDER * n, EDGE, np.uint32)
+        framed[np.arange(len(symbols)) + ORDER - 1 + ORDER * np.repeat(np.arange(n), np.diff(left))] = symbols
+        #: N-grams of each text, and whether one that starts at a place lies in one text.
+        self.counts = np.diff(left) + 1
+        self.inside = np.ones(len(framed) - ORDER + 1, dtype=bool)
+        after = np.cumsum(np.diff(left) + ORDER)[:-1]
+        for i in range(1, ORDER):
+            self.inside[after - i] = False
+        self.alphabet = np.unique(framed)
+        self.base = len(self.alphabet)
+        codes = np.zeros(int(self.alphabet[-1]) + 1, np.int64)
+        codes[self.alphabet] = np.arange(self.base)
+        self.codes = codes[framed]
+        self.pairs = None
+        if self.base**ORDER >= 1 << 63:  # numbers of pairs instead, of which there are fewer than places
+            both = self.codes[:-1] * self.base + self.codes[1:]
+            self.pairs = np.unique(both)
+            self.codes = np.searchsorted(self.pairs, both)
+
+    def numbers(self) -> Iterator[np.ndarray]:
+        """One number for each n-gram, in order of place, by chunks; n-grams differ if and only if their numbers do."""
+        for at in range(0, len(self.inside), CHUNK):
+            end = min(at + CHUNK, len(self.inside))
+            if self.pairs is not None:
+                number = self.codes[at:end] * len(self.pairs) + self.codes[at + 2 : end + 2]
+            else:
+                number = self.codes[at:end].copy()
+                for i in range(1, ORDER):
+                    number *= self.base
+                    number += self.codes[at + i : end + i]
+            yield number[self.inside[at:end]]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct numbers in ascending order, and how often each occurs."""
+        parts = [np.unique(number, return_counts=True) for number in self.numbers()]
+        some, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return some, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+    def strings(self, numbers: np.ndarray) -> pa.Array:
+        if self.pairs is not None:
+            halves = [self.pairs[numbers // len(self.pairs)], self.pairs[numbers % len(self.pairs)]]
+            codes = [c for half in halves for c in (half // self.base, half % self.base)]
+        else:
+            codes = [numbers // self.base ** (ORDER - 1 - i) % self.base for i in range(ORDER)]
+        points = np.ascontiguousarray(self.alphabet[np.stack(codes, axis=1)].astype("<u4"))
+        return pa.array(points.view(f"<U{ORDER}").ravel(), pa.string())
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(batches):
+        grams = Grams(block.column(0))
+        some, n = grams.distinct()
+        yield pa.RecordBatch.from_arrays([grams.strings(some), pa.array(n)], ["gram", "n"])
+
+
+def _packed(block: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(block)
+    return sink.getvalue().to_pybytes()
+
+
+def _name(nth: int, packed: bytes) -> int:
+    """A block's name: of its task, its place there and all it holds, so another division of the rows can't pass for this one."""
+    place = np.array([TaskContext.get().partitionId() << 32 | nth], np.uint64)
+    data = pa.array([packed.hex()])  # letters and digits only: one word
+    whole = K.Words(*K.buffers(data), K.BLANK_WORDS, lower=False).hashes()
+    return int(K.mix(place ^ whole).view(np.int64)[0])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nth, block in enumerate(_blocks(batches)):
+        grams = Grams(block.column(0))
+        some, _ = grams.distinct()
+        name = _name(nth, _packed(block))
         for at in range(0, len(some), 50_000):
             part = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["gram", "n"])
-
-    return run
+            place = np.arange(at, at + len(part), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), name)), pa.array(place), grams.strings(part)], ["block", "place", "gram"]
+            )
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nth, block in enumerate(_blocks(batches)):
+        packed = _packed(block)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_name(nth, packed)]), pa.array([packed], pa.binary())], ["block", "packed"]
+        )
+
+
+def _score(texts: pa.Table, logs: pa.Table) -> pa.Table:
+    """The texts of one block, scored with the log-probabilities of its n-grams."""
+    if texts.num_rows != 1 or not logs.num_rows:
+        raise ValueError("docs gives its rows in another order each time it is read; write it to a table first")
+    block = pa.ipc.open_stream(texts["packed"][0].as_buffer()).read_all().combine_chunks().to_batches()[0]
+    grams = Grams(block.column(0))
+    some, _ = grams.distinct()
+    own = np.empty(len(some))
+    own[logs["place"].to_numpy()] = logs["log"].to_numpy()
+    ends = np.cumsum(grams.counts)
+    total, at = np.zeros(len(ends)), 0
+    for number in grams.numbers():
+        value = own[np.searchsorted(some, number)]
+        row = int(np.searchsorted(ends, at, side="right"))
+        last = int(np.searchsorted(ends, at + len(value), side="left"))
+        starts = np.concatenate([[0], ends[row:last] - at])
+        if len(value):
+            total[row : last + 1] += np.add.reduceat(value, starts)
+        at += len(value)
+    return pa.Table.from_arrays(
+        [*block.columns[1:], pa.array(grams.counts.astype(np.int64)), pa.array(2.0 ** (-total / grams.counts))],
+        [*block.schema.names[1:], "n_symbols", "perplexity"],
+    )
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D for counts of 0, 1, 2 and 3 or more, by Chen and Goodman's estimates; kept between a twentieth of the count and the count, so
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """D for counts of 1, 2 and 3 or more, by Chen and Goodman's estimates; kept between a twentieth of the count and the count, so
     something is always left for what wasn't seen."""
-    n1, n2, n3, n4 = (float((counts == i).sum()) for i in range(1, 5))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    d = [0.0]
+    d = []
     for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), start=1):
         d.append(min(max(k - (k + 1) * y * b / a, 0.05 * k), float(k)) if a else k * 0.5)
-    return np.array(d)
+    return d
 
 
-def log_table(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log2 p(last | the others) of every n-gram of ORDER symbols, as float32.
+def kneser_ney(counts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """From (gram, n), the counts of ORDER symbols: a function from distinct grams to (gram, p), p(last | the others).
 
     The highest order uses counts, lower ones the number of distinct symbols seen
-    before, each interpolated with the next lower; the lowest with a uniform choice.
+    before, each interpolated with the next lower; the lowest with a uniform choice
+    of the symbols seen and one for all others.
     """
-    levels = [(grams, counts.astype(np.int64))]
-    for order in range(ORDER - 1, 0, -1):
-        seen = np.unique(levels[-1][0] % SYMBOLS**order, return_counts=True)
-        levels.append((seen[0], seen[1].astype(np.int64)))
-    p = np.full(1, 1.0 / SYMBOLS)
-    for order, (own, n) in zip(range(1, ORDER + 1), levels[::-1], strict=True):
-        kind = np.float32 if order == ORDER else np.float64  # the table itself is the largest thing here
-        cells = np.zeros(SYMBOLS**order, kind)
-        cells[own] = n
-        cells = cells.reshape(-1, SYMBOLS)
-        total = cells.sum(axis=1, keepdims=True)
-        d = discounts(n).astype(kind)
-        cut = d[np.minimum(cells, 3).astype(np.int8)]
-        kept = np.where(total > 0, cut.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0).astype(kind)
-        lower = (p.reshape(-1, SYMBOLS) if order > 1 else p.reshape(1, 1)).astype(kind)
-        # The lower order's row for context (b, c) serves contexts (a, b, c) for every a.
-        lower = np.broadcast_to(lower, (SYMBOLS, *lower.shape)).reshape(-1, SYMBOLS) if order > 1 else lower
-        p = np.maximum(cells - cut, 0) / np.maximum(total, 1) + kept * lower
-    return np.log2(p).astype(np.float32).ravel()
-
-
-def _score(table, logs):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, chars, first in _points(batch.column(0)):
-                gram, at = _grams(chars, first, table.value)
-                total = np.add.reduceat(logs.value[gram].astype(np.float64), at[:-1])
-                n = np.diff(at)
-                rows = slice(start, start + len(n))
-                yield pa.RecordBatch.from_arrays(
-                    [*(c[rows] for c in batch.columns[1:]), pa.array(n.astype(np.int64)), pa.array(2.0 ** (-total / n))],
-                    [*batch.schema.names[1:], "n_symbols", "perplexity"],
-                )
-
-    return run
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+        levels[k] = written(shorter, f"order{k}")
+    cuts = {}
+    for k, level in levels.items():
+        with tidy(session(counts)):
+            cuts[k] = discounts(*level.agg(*(F.count_if(F.col("n") == i) for i in range(1, 5))).first())
+    with tidy(session(counts)):
+        symbols = levels[1].count() + 1
+
+    def cells(k: int) -> DataFrame:
+        d1, d2, d3 = cuts[k]
+        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        return levels[k].select(F.col("gram").alias("cell"), F.greatest(F.col("n") - cut, F.lit(0.0)).alias("left"))
+
+    def contexts(k: int) -> DataFrame:
+        few = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
+        saved = sum((F.lit(d) * n for d, n in zip(cuts[k], few, strict=True)), F.lit(0.0))
+        total = F.sum("n")
+        return levels[k].groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(total.alias("total"), (saved / total).alias("saved"))
+
+    def probabilities(grams: DataFrame) -> DataFrame:
+        lower = None
+        for k in range(1, ORDER + 1):
+            own = grams.select("gram") if k == ORDER else grams.select(F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct()
+            own = own.join(cells(k), F.col("gram") == F.col("cell"), "left")
+            own = own.join(contexts(k), F.substring("gram", 1, k - 1) == F.col("context"), "left")
+            if lower is None:
+                own = own.withColumn("below", F.lit(1.0 / symbols))
+            else:
+                own = own.join(lower, F.substring("gram", 2, k - 1) == F.col("suffix"))
+            p = F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce("saved", F.lit(1.0)) * F.col("below")
+            lower = own.select(F.col("gram").alias("suffix"), p.alias("below"))
+        return lower.select(F.col("suffix").alias("gram"), F.col("below").alias("p"))
+
+    return probabilities
 
 
 def _held_back(id_col: str) -> F.Column:
@@ -175,7 +268,10 @@ def perplexity_verdicts(
     perplexity isn't above the cut; a null language is one of its own. A language without trusted documents takes the quantile over all trusted
     ones; without any, all is kept. An empty or null text holds its end only.
     Documents labelled more than once are trusted if one label says so. Rows with
-    a null id are never trusted. An empty table gives an empty result.
+    a null id are never trusted. An empty table gives an empty result. Texts of any
+    length are read whole, a very long one as a block of its own. Other columns of
+    docs and labels are left out, whatever their names. docs is read twice and has to
+    give its rows in the same order both times, as files do; if not, this raises.
     """
     spark: SparkSession = session(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -189,18 +285,21 @@ def perplexity_verdicts(
     source = near.join(counted, F.col("doc_id") == F.col("good_id"), "left_semi").select("text")
     source = written(source, "source")
 
-    points = source.mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    blanks = [0x20, *range(0x09, 0x0E)]
-    common = points.filter(~F.col("point").isin(blanks)).orderBy(F.desc("n"), "point").limit(SYMBOLS - OTHER - 1).collect()
-    table = spark.sparkContext.broadcast(symbol_table([r["point"] for r in common]))
-    # Sharded by n-gram: each shard sums what the tasks have counted.
-    counts = source.mapInArrow(_count(table), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = written(counts, "counts").toArrow().sort_by("gram")
-    logs = spark.sparkContext.broadcast(log_table(counts["gram"].to_numpy(), counts["n"].to_numpy()))
-
-    scored = written(
-        body.mapInArrow(_score(table, logs), f"doc_id {kind}, lang string, n_symbols long, perplexity double"), "scored"
+    counts = source.mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    model = kneser_ney(written(counts, "counts"))
+    free(source)
+    own = written(body.mapInArrow(_distinct, "block long, place int, gram string"), "grams")
+    seen = written(own.select("gram").distinct(), "seen")
+    # Written before its join, so that Spark can split the commonest n-grams, which every block has.
+    logs = written(model(seen).select("gram", F.log2("p").alias("log")), "logs")
+    logs = written(own.join(logs, "gram").select("block", "place", "log"), "block-logs")
+    free(own, seen)
+    blocks = body.mapInArrow(_pack, "block long, packed binary")
+    scored = blocks.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(
+        _score, f"doc_id {kind}, lang string, n_symbols long, perplexity double"
     )
+    scored = written(scored, "scored")
+    free(logs)
     trusted = scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull())
     trusted = written(trusted.drop("good_id"), "judged")
     q = F.expr(f"percentile_approx(perplexity, {quantile}, 100000)")
