@@ -12,6 +12,7 @@ a quantile of the perplexities of its trusted documents.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -136,10 +137,8 @@ def _packed(block: pa.RecordBatch) -> bytes:
 
 def _name(nth: int, packed: bytes) -> int:
     """A block's name: of its task, its place there and all it holds, so another division of the rows can't pass for this one."""
-    place = np.array([TaskContext.get().partitionId() << 32 | nth], np.uint64)
-    data = pa.array([packed.hex()])  # letters and digits only: one word
-    whole = K.Words(*K.buffers(data), K.BLANK_WORDS, lower=False).hashes()
-    return int(K.mix(place ^ whole).view(np.int64)[0])
+    place = (TaskContext.get().partitionId() << 32 | nth).to_bytes(8, "little")
+    return int.from_bytes(hashlib.blake2b(place + packed, digest_size=8).digest(), "little", signed=True)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
