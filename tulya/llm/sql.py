@@ -39,7 +39,48 @@ select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
 from d
 """
 
+#: CRC-32 by the byte: the table by its rule, then one step a byte of "<doc_id>:<run>".
+OP13 = r"""
+with crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+seen as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents)
+  group by all),
+summed as (
+  select run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda c: case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [195, unicode(c) - 64] end))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as h from seen, crc),
+words as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n
+    from summed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+holes as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest
+  from (select word, n, unnest(range(0, length(word))) as i from words)),
+near as (
+  select a.word, b.word as other, b.n as other_n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from holes a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from holes a join words b on a.rest = b.word),
+best as (
+  select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * w.n then other end as form,
+    case when other_n >= 2 * w.n then other_n end as form_n
+  from words w left join best b on w.word = b.word),
+walk as (
+  with recursive steps(word, place) as (
+    select word, word from forms union all select s.word, f.form from steps s join forms f on s.place = f.word where f.form is not null)
+  select word, place from steps),
+roots as (select w.word, w.place as root from walk w join forms f on w.place = f.word where f.form is null)
+select f.word, f.form, r.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from forms f join roots r on f.word = r.word
+"""
+
 ORACLES = {
     "op5_warc": OP5,
     "op1_decontaminate": OP1,
+    "op13_spelling": OP13,
 }
