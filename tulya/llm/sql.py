@@ -79,8 +79,50 @@ roots as (select w.word, w.place as root from walk w join forms f on w.place = f
 select f.word, f.form, r.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from forms f join roots r on f.word = r.word
 """
 
+#: Documents folded by what they fail, then every order of the filters step by step.
+OP12 = r"""
+with words as (
+  select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+flags as (
+  select part,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by text), false)] as fails,
+    coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from words left join (
+    select doc_id as of, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id)
+  on doc_id = of),
+folded as (select part, fails, good, toxic, count(*) as n from flags group by all),
+parts as (select distinct part from flags),
+letter as (select unnest(range(1, 6)) as f),
+orders as (
+  select [a.f, b.f, c.f, d.f, e.f] as fs from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select fs, step, fs[step] as f, fs[: step - 1] as before from orders, (select unnest(range(1, 6)) as step)),
+seen as (
+  select part, fs, step, f, fails[f] as failing, good, toxic, n,
+    len(list_filter(before, lambda x: fails[x])) > 0 as gone,
+    len(list_filter(fails, lambda x: x)) = 1 as single
+  from folded, steps),
+summed as (
+  select part, fs, step, f,
+    sum(case when not gone and not failing then n else 0 end) as kept,
+    sum(case when not gone and failing then n else 0 end) as removed,
+    sum(case when gone and failing then n else 0 end) as redundant,
+    sum(case when failing and single then n else 0 end) as unique_fails,
+    sum(case when not gone and failing and good then n else 0 end) as good_lost,
+    sum(case when not gone and failing and toxic then n else 0 end) as toxic_lost
+  from seen group by all)
+select part, array_to_string(list_transform(fs, lambda x: substr('ABCDE', cast(x as int), 1)), '') as filter_order, cast(step as int) as step,
+  cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from summed
+"""
+
 ORACLES = {
     "op5_warc": OP5,
     "op1_decontaminate": OP1,
+    "op12_filter_audit": OP12,
     "op13_spelling": OP13,
 }
