@@ -20,6 +20,7 @@ _WHERE = {
     "op8_quality_classifier": ("kneserney", "op8"),
     "op9_minhash": ("minhash", "op9"),
     "op10_substring_dedup": ("substrings", "op10"),
+    "op11_fingerprints": ("fingerprints", "op11"),
     "op12_filter_audit": ("audit", "op12"),
     "op13_spelling": ("spelling", "op13"),
 }
