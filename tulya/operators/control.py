@@ -12,6 +12,11 @@ WEIGHTS = {"empty": 8, "indic": 7, "transliterated": 7, "foreign_numbers": 6, "l
 MOST_REPAIRS, REPAIR_BATCH = 48, 8
 
 
+def can_repeat(key: Column) -> Column:
+    """Whether a text of this key is long enough to count as a repetition of another."""
+    return (F.length(key) >= 24) & (F.size(F.split(key, " ")) >= 4)
+
+
 def target_flags(source: Column, target: Column, repeated: Column) -> Column:
     """array of struct(reason, weight); an empty target has no other reason."""
     s, t = X.trimmed(F.coalesce(source, F.lit(""))), X.trimmed(F.coalesce(target, F.lit("")))
@@ -23,7 +28,7 @@ def target_flags(source: Column, target: Column, repeated: Column) -> Column:
         F.when(F.size(X.foreign_numbers(s, t)) > 0, flag("foreign_numbers")),
         F.when(F.size(X.lost_numbers(s, t)) > 0, flag("lost_numbers")),
         F.when((F.length(s) >= 40) & (F.length(t) / F.greatest(F.lit(1), F.length(s)) < 0.45), flag("short")),
-        F.when((F.length(key) >= 24) & (F.size(F.split(key, " ")) >= 4) & repeated, flag("duplicate")),
+        F.when(can_repeat(key) & repeated, flag("duplicate")),
     )
     return F.when(t == "", F.array(flag("empty"))).otherwise(F.filter(flags, lambda f: f.isNotNull()))
 

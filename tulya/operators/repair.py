@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .control import assess
+from .control import WEIGHTS, assess, can_repeat, target_flags
 from .segments import CHUNK_SEGMENTS, CHUNK_TOKENS, chunk_segments
 
 #: Chunks asked again, at least and after a failure of many; residue that is asked again; segments to such a chunk.
@@ -19,22 +19,23 @@ def retry_limits(tokens: int = CHUNK_TOKENS, items: int = CHUNK_SEGMENTS) -> tup
     return max(200, tokens // 2), max(1, items // 2)
 
 
-def _chunked(segments: DataFrame, cap: Column, items: int | None = None) -> DataFrame:
-    tokens, half = retry_limits()
-    half = min(items or half, half)
+def _chunked(segments: DataFrame, cap: Column, tokens: int, half: int) -> DataFrame:
     sized = segments.withColumn("_tokens", X.estimate_tokens("source"))
     n = F.count("*").over(Window.partitionBy("doc_id"))
     return chunk_segments(sized, "_tokens", most_tokens=tokens, most_items=half).withColumn("_n", n).filter(F.col("chunk_id") < cap).drop("_n", "_tokens")
 
 
-def failed_retry(segments: DataFrame) -> DataFrame:
-    """Segments of failed chunks (doc_id, seg_idx, source) in smaller chunks; the more have failed, the more are asked."""
-    _, half = retry_limits()
+def failed_retry(segments: DataFrame, tokens: int = CHUNK_TOKENS, items: int = CHUNK_SEGMENTS) -> DataFrame:
+    """Segments of failed chunks (doc_id, seg_idx, source) in smaller chunks; the more have failed, the more are asked.
+
+    tokens and items are the limits of the chunks that failed.
+    """
+    less, half = retry_limits(tokens, items)
     wanted = F.ceil(F.col("_n") / half)
-    return _chunked(segments, F.least(F.lit(MOST_CHUNKS), F.greatest(F.lit(LEAST_CHUNKS), wanted)))
+    return _chunked(segments, F.least(F.lit(MOST_CHUNKS), F.greatest(F.lit(LEAST_CHUNKS), wanted)), less, half)
 
 
-def empty_retry(segments: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+def empty_retry(segments: DataFrame, failed: DataFrame | None = None, tokens: int = CHUNK_TOKENS, items: int = CHUNK_SEGMENTS) -> DataFrame:
     """Empty segments in smaller chunks, of documents of which at most half came back empty.
 
     segments: doc_id, seg_idx, source, target, of all that was to be translated. Those of failed chunks don't count.
@@ -46,15 +47,16 @@ def empty_retry(segments: DataFrame, failed: DataFrame | None = None) -> DataFra
     doc = Window.partitionBy("doc_id")
     rows = rows.withColumns({"_empty": empty, "_all": F.count("*").over(doc), "_bad": F.count_if(empty).over(doc)})
     some = rows.filter("_empty and _bad <= _all / 2").select("doc_id", "seg_idx", "source")
-    return _chunked(some, F.lit(LEAST_CHUNKS))
+    return _chunked(some, F.lit(LEAST_CHUNKS), *retry_limits(tokens, items))
 
 
-def residue_retry(segments: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def residue_retry(segments: DataFrame, asked: DataFrame | None = None, tokens: int = CHUNK_TOKENS, items: int = CHUNK_SEGMENTS) -> DataFrame:
     """Segments whose English still holds much Indic script, in small chunks, but for those already asked again."""
     some = segments.filter((F.coalesce(F.col("target"), F.lit("")) != "") & (X.indic_ratio("target") > RESIDUE_ABOVE))
     if asked is not None:
         some = some.join(asked.select("doc_id", "seg_idx"), ["doc_id", "seg_idx"], "left_anti")
-    return _chunked(some.select("doc_id", "seg_idx", "source"), F.lit(LEAST_CHUNKS), RESIDUE_CHUNK)
+    less, half = retry_limits(tokens, items)
+    return _chunked(some.select("doc_id", "seg_idx", "source"), F.lit(LEAST_CHUNKS), less, min(RESIDUE_CHUNK, half))
 
 
 def stopped_after(chunks: DataFrame, in_a_row: int = 2) -> DataFrame:
@@ -95,15 +97,40 @@ def placed_answers(queue: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def adopted(segments: DataFrame, placed: DataFrame) -> DataFrame:
-    """Segments with the candidates that weigh less than what was there.
-
-    segments: doc_id, seg_idx, source, target. Both are weighed as assess has it;
-    a candidate is compared with the other segments as they are now.
+    """Segments with the candidates that weigh less than what was there, taken one after the other.
+
+    segments: doc_id, seg_idx, source, target. Both texts are weighed as assess has it.
+    Candidates of a document come in the order of the repair queue, the heaviest
+    segment first, and whether one says what another segment says already is asked of
+    the document as the candidates before it have left it: a fold over a document's
+    candidates, of which the queue has at most MOST_REPAIRS, that carries the texts put
+    in and taken out so far. A null or blank candidate is none. Of several for one
+    segment the first in code-point order counts.
     """
-    before = assess(segments).select("doc_id", "seg_idx", "source", "target", F.col("weight").alias("_before"))
-    trial = segments.select("doc_id", "seg_idx", "source", "target").join(placed.select("doc_id", "seg_idx", "candidate"), ["doc_id", "seg_idx"], "left")
-    tried = assess(trial.withColumn("target", F.coalesce("candidate", "target"))).select("doc_id", "seg_idx", "candidate", F.col("weight").alias("_after"))
-    out = before.join(tried, ["doc_id", "seg_idx"])
-    better = F.col("candidate").isNotNull() & (F.col("_after") < F.col("_before"))
+    weighed = assess(segments).select("doc_id", "seg_idx", "source", "target", "weight", X.target_key(F.coalesce("target", F.lit(""))).alias("key"))
+    given = placed.filter(F.trim("candidate") != "").groupBy("doc_id", "seg_idx").agg(F.min("candidate").alias("candidate"))
+    tried = weighed.join(given, ["doc_id", "seg_idx"])
+    flags = target_flags(F.col("source"), F.col("candidate"), F.lit(False))
     fixed = X.normalize_whitespace(X.restore_clause_label(F.col("candidate"), F.col("source")))
-    return out.select("doc_id", "seg_idx", "source", F.when(better, fixed).otherwise(F.col("target")).alias("target"), better.alias("replaced"))
+    tried = tried.select(
+        "doc_id", "seg_idx", "weight", "key", fixed.alias("fixed"), X.target_key(fixed).alias("new"), X.target_key(X.trimmed("candidate")).alias("asked"),
+        F.aggregate(flags, F.lit(0), lambda a, f: a + f["weight"]).alias("after"), can_repeat(X.target_key(X.trimmed("candidate"))).alias("can_repeat"),
+    )
+    present = weighed.groupBy("doc_id", F.col("key").alias("asked")).agg(F.count("*").cast("int").alias("n"))
+    tried = tried.join(present, ["doc_id", "asked"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = F.struct((-F.col("weight")).alias("rank"), "seg_idx", "weight", "key", "new", "asked", "after", "can_repeat", "n", "fixed")
+    by_doc = tried.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("tried"))
+    move = "array<struct<old:string,new:string,seg_idx:{},fixed:string>>".format(segments.schema["seg_idx"].dataType.simpleString())
+
+    def step(moved: Column, c: Column) -> Column:
+        came = F.size(F.filter(moved, lambda m: m["new"] == c["asked"]))
+        went = F.size(F.filter(moved, lambda m: m["old"] == c["asked"]))
+        others = c["n"] + came - went - F.when(c["key"] == c["asked"], 1).otherwise(0)
+        after = c["after"] + F.when(c["can_repeat"] & (others > 0), WEIGHTS["duplicate"]).otherwise(0)
+        row = F.struct(c["key"].alias("old"), c["new"].alias("new"), c["seg_idx"].alias("seg_idx"), c["fixed"].alias("fixed"))
+        return F.when(after < c["weight"], F.array_append(moved, row)).otherwise(moved)
+
+    taken = by_doc.select("doc_id", F.explode(F.aggregate("tried", F.array().cast(move), step)).alias("m"))
+    taken = taken.select("doc_id", "m.seg_idx", F.col("m.fixed").alias("_new"))
+    out = weighed.join(taken, ["doc_id", "seg_idx"], "left")
+    return out.select("doc_id", "seg_idx", "source", F.coalesce("_new", "target").alias("target"), F.col("_new").isNotNull().alias("replaced"))
