@@ -49,6 +49,46 @@ def glossary(spark: SparkSession, entries: Iterable[tuple] | None = None, custom
     )
 
 
+def glossary_table(entries: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """As glossary(), from a table: source, target, category, preserve, alternatives, aliases.
+
+    Rows of ``custom`` take the place of those with one of their keys. Of several rows
+    of a table with one key the last source in code-point order counts; null aliases and
+    alternatives are none, rows without a source or target are left out.
+    """
+    none = F.array().cast("array<string>")
+
+    def spelled(df: DataFrame, rank: int) -> DataFrame:
+        df = df.filter("source is not null and target is not null").select(
+            "source", "target", "category", F.coalesce("preserve", F.lit(False)).alias("preserve"),
+            F.coalesce("alternatives", none).alias("alternatives"), F.coalesce("aliases", none).alias("aliases"),
+        )
+        every = df.select("*", F.explode(F.concat(F.array("source"), "aliases")).alias("spelling"), F.lit(rank).alias("rank"))
+        key = F.lower(F.regexp_replace(F.regexp_replace("spelling", "[\u200c\u200d]", ""), r"[\s.]+", ""))
+        return every.withColumn("key", key)
+
+    rows = spelled(entries, 0) if custom is None else spelled(entries, 0).unionByName(spelled(custom, 1))
+    row = F.struct("source", "target", "category", "preserve", "alternatives")
+    rows = rows.groupBy("key").agg(F.max_by(row, F.struct("rank", "source", "target")).alias("r")).select("key", "r.*")
+    gloss = F.regexp_extract("target", r"\(([^()]+)\)", 1)
+    rows = rows.select("key", F.col("source").alias("surface"), "target", F.substring_index("target", " (", 1).alias("head"), F.when(gloss != "", gloss).alias("gloss"),
+                       "category", "preserve", "alternatives")
+    return rows.withColumn("literals", _literals(F.col("head"), F.col("gloss")))
+
+
+def _literals(head: Column, gloss: Column) -> Column:
+    """As literal_candidates: phrases of the gloss of two words and more that the head lacks, the longest first."""
+    parts = F.filter(F.split(F.coalesce(gloss, F.lit("")), r"\s+"), lambda w: w != "")
+    n = F.size(parts)
+    starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    phrases = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.slice(parts, i, j - i + 1))))
+    stop = F.array(*map(F.lit, G.STOP_WORDS))
+    told = F.filter(phrases, lambda p: F.exists(p, lambda w: ~F.array_contains(stop, F.lower(w))))
+    told = F.array_distinct(F.filter(F.transform(told, lambda p: F.array_join(p, " ")), lambda p: ~_in(head, p)))
+    ranked = F.array_sort(F.transform(told, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))
+    return F.transform(ranked, lambda r: r["p"])
+
+
 def contains_term(text: Column, surface: Column) -> Column:
     """Whether text has surface as a whole token: no letter or mark on either side."""
     edge = r"[\p{L}\p{M}]"
@@ -56,21 +96,59 @@ def contains_term(text: Column, surface: Column) -> Column:
     return F.contains(F.lower(text), F.lower(surface)) & F.regexp_like(text, quoted)
 
 
+#: What a term's edge may not touch, and so what words are runs of.
+_LETTER = r"\p{L}\p{M}"
+
+
+def words(text: Column) -> Column:
+    """Maximal runs of letters and marks, in lower case."""
+    return F.filter(F.split(F.lower(text), f"[^{_LETTER}]+", -1), lambda w: w != "")
+
+
+def _anchor(spelling: Column) -> Column:
+    """The first word of a spelling: where the spelling stands in a text, this is a whole word of it. '' without letters."""
+    return F.regexp_extract(F.lower(spelling), f"[{_LETTER}]+", 0)
+
+
+def _own_pattern(keys: Column) -> Column:
+    """A pattern of some keys, the longest first, as whole tokens."""
+    ranked = F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
+    quoted = F.transform(ranked, lambda r: F.concat(F.lit(r"\Q"), F.replace(r["k"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit(rf"(?iu)(?<![{_LETTER}])(?:"), F.array_join(quoted, "|"), F.lit(rf")(?![{_LETTER}])"))
+
+
 def term_scan(blocks: DataFrame, terms: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id", "block_ord")) -> DataFrame:
-    """ids, key, surface, n: how often each block has each term.
+    """ids, key, surface, category, n: how often each block has each term, whatever the number of terms.
 
-    All spellings are one pattern, longest first, whatever their number: the glossary
-    is a dimension table that fits the driver. What the pattern finds is joined to
-    the terms by key.
+    A key that is one word is found by joining words. One of several words, or without
+    letters, is a candidate where its first word, or a piece of the same length, joins;
+    the blocks that have such a candidate are searched again, with a pattern of the keys
+    that are candidates there: of overlapping ones the first counts, and of those the
+    longest. Blocks have distinct ids.
     """
-    keys = [r["key"] for r in terms.select("key").distinct().collect()]
-    ordered = sorted((k for k in keys if len(k) >= 2), key=lambda k: (-len(k), k))
-    rx = r"(?iu)(?<![\p{L}\p{M}])(?:" + "|".join(re.escape(k) for k in ordered) + r")(?![\p{L}\p{M}])"
-    hits = F.regexp_extract_all(F.col(text_col), F.lit(rx), F.lit(0)) if ordered else F.array().cast("array<string>")
-    found = blocks.select(*id_cols, F.explode(hits).alias("hit"))
-    keyed = found.withColumn("key", F.lower(F.regexp_replace(F.regexp_replace("hit", "[‌‍]", ""), r"[\s.]+", "")))
-    counts = keyed.groupBy(*id_cols, "key").agg(F.count("*").alias("n"))
-    return counts.join(terms.select("key", "surface", "category"), "key").select(*id_cols, "key", "surface", "category", "n")
+    ids = list(id_cols)
+    keys = terms.select("key").distinct().filter("length(key) >= 2").withColumn("anchor", _anchor(F.col("key")))
+    word_keys, more = keys.filter("anchor = key").select("key"), keys.filter("anchor <> key")
+    found = blocks.select(*ids, F.explode(words(F.col(text_col))).alias("key"))
+    single = found.join(word_keys, "key")
+    if more.isEmpty():
+        counts = single.groupBy(*ids, "key").agg(F.count("*").alias("n"))
+    else:
+        hits = found.withColumnRenamed("key", "anchor").join(more.filter("anchor <> ''"), "anchor").select(*ids, "key")
+        sizes = [r["n"] for r in more.filter("anchor = ''").select(F.length("key").alias("n")).distinct().collect()]  # lengths, so few
+        if sizes:
+            runs = F.filter(F.split(F.lower(F.col(text_col)), rf"[{_LETTER}\s.]+", -1), lambda x: x != "")
+            run = blocks.select(*ids, F.explode(runs).alias("run")).select(*ids, "run", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+            cut = run.filter("length(run) >= size").select(*ids, F.explode(F.expr("transform(sequence(1, length(run) - size + 1), i -> substring(run, i, size))")).alias("key"))
+            hits = hits.union(cut.join(more.filter("anchor = ''").select("key"), "key").select(*ids, "key"))
+        again = hits.distinct().groupBy(*ids).agg(F.collect_set("key").alias("_several"))
+        ones = single.join(again.select(*ids), ids, "left_semi").groupBy(*ids).agg(F.collect_set("key").alias("_one"))
+        own = again.join(ones, ids, "left").select(*ids, F.array_union("_several", F.coalesce("_one", F.array().cast("array<string>"))).alias("_keys"))
+        searched = blocks.select(*ids, text_col).join(own, ids)
+        searched = searched.select(*ids, F.explode(F.regexp_extract_all(F.col(text_col), _own_pattern(F.col("_keys")), F.lit(0))).alias("hit"))
+        searched = searched.select(*ids, F.lower("hit").alias("key")).groupBy(*ids, "key").agg(F.count("*").alias("n"))
+        counts = single.join(again.select(*ids), ids, "left_anti").groupBy(*ids, "key").agg(F.count("*").alias("n")).union(searched)
+    return counts.join(terms.select("key", "surface", "category"), "key").select(*ids, "key", "surface", "category", "n")
 
 
 def term_plan(scan: DataFrame, terms: DataFrame, doc_col: str = "doc_id", block_col: str = "block_ord") -> DataFrame:
@@ -87,14 +165,35 @@ def _in(text: Column, phrase: Column) -> Column:
     return F.contains(F.lower(text), F.lower(phrase))
 
 
+def term_index(plan: DataFrame, blocks: DataFrame, text_col: str = "source_text", doc_col: str = "doc_id", block_col: str = "block_ord") -> DataFrame:
+    """doc, block, key, exact: the blocks of a document that may have a term of its plan, by its main spelling.
+
+    An inverted index of words leads from a spelling's first word to the blocks that have
+    it, so no block meets the terms that it lacks. ``exact`` is true where that word is
+    the whole spelling; elsewhere the text has to be looked at. Spellings without letters
+    go to all blocks of their document.
+    """
+    asked = plan.select(doc_col, "key", F.lower("surface").alias("_s"), _anchor(F.col("surface")).alias("_w"))
+    listed = blocks.select(doc_col, block_col, F.explode(F.array_distinct(words(F.col(text_col)))).alias("_w"))
+    found = listed.join(asked.filter("_w <> ''"), [doc_col, "_w"]).select(doc_col, block_col, "key", (F.col("_s") == F.col("_w")).alias("exact"))
+    rest = blocks.select(doc_col, block_col).join(asked.filter("_w = '' and _s <> ''"), doc_col)
+    return found.union(rest.select(doc_col, block_col, "key", F.lit(False)))
+
+
+def _with_terms(plan: DataFrame, blocks: DataFrame, doc_col: str, block_col: str) -> DataFrame:
+    """Blocks joined with the terms of their document's plan that their source has."""
+    pairs = term_index(plan, blocks, "source_text", doc_col, block_col).join(plan, [doc_col, "key"])
+    pairs = pairs.join(blocks.select(doc_col, block_col, "source_text", "target_text"), [doc_col, block_col])
+    return pairs.filter(F.col("exact") | contains_term(F.col("source_text"), F.col("surface"))).drop("exact")
+
+
 def term_compliance(plan: DataFrame, blocks: DataFrame, doc_col: str = "doc_id", block_col: str = "block_ord") -> DataFrame:
     """doc, block, key, surface, expected, actual, kind, severity: terms that a block's target doesn't keep.
 
-    plan is joined to the blocks of its document; a block answers for the terms that
-    its source has by their main spelling.
+    A block answers for the terms that its source has by their main spelling; see
+    term_index.
     """
-    pairs = blocks.select(doc_col, block_col, "source_text", "target_text").join(plan, doc_col)
-    pairs = pairs.filter(contains_term(F.col("source_text"), F.col("surface")))
+    pairs = _with_terms(plan, blocks, doc_col, block_col)
     target = F.coalesce("target_text", F.lit(""))
     head = _in(target, F.col("head"))
     alias = F.get(F.filter("alternatives", lambda a: _in(target, a)), 0)
@@ -112,10 +211,9 @@ def term_compliance(plan: DataFrame, blocks: DataFrame, doc_col: str = "doc_id",
     return out.select(doc_col, block_col, "key", "surface", F.col("target").alias("expected"), "_v.actual", "_v.kind", "_v.severity")
 
 
-def term_consistency(plan: DataFrame, blocks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+def term_consistency(plan: DataFrame, blocks: DataFrame, doc_col: str = "doc_id", block_col: str = "block_ord") -> DataFrame:
     """doc, key, surface, renderings: terms that a document renders in more than one way."""
-    pairs = blocks.select(doc_col, "source_text", "target_text").join(plan, doc_col)
-    pairs = pairs.filter(contains_term(F.col("source_text"), F.col("surface")))
+    pairs = _with_terms(plan, blocks, doc_col, block_col)
     heads = F.concat(F.array("head"), F.transform("alternatives", lambda a: F.substring_index(a, " (", 1)))
     used = F.filter(F.array_distinct(heads), lambda h: (h != "") & _in(F.coalesce(F.col("target_text"), F.lit("")), h))
     rows = pairs.select(doc_col, "key", "surface", F.explode(used).alias("rendering"))

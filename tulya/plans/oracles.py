@@ -255,6 +255,10 @@ select doc_id, block_ord from m where {_RATIO('t')} > 0.08""",
     "echo_only": "select l_orderkey, l_linenumber, ['[12]', ' - ', 'text', '-', '[x]'][1 + l_linenumber % 5] as t from lineitem where l_linenumber % 5 in (0, 1, 3)",
     "term_scan": f"""with {_TERMS}, tok as (select doc_id, unnest({_TOKENS.format(c='text')}) as w from documents)
 select doc_id, key, category, count(*) as n from tok join terms on w = key group by all""",
+    "term_dictionary": r"""with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}]+')) as w from documents),
+known as (select w from w where length(w) >= 4 group by 1 having count(*) >= 2),
+one as (select doc_id, w, count(*) as n from w where w in (from known) group by all)
+select doc_id, 'c' || length(w) % 3 as category, count(*) as n_terms, cast(sum(n) as bigint) as n_hits from one group by all""",
     "term_plan": f"with {_PLAN} select doc_id, plan.key, head, cast(cnt as bigint) as cnt, first_use_block, glossed from plan join terms on terms.key = plan.key",
     "terms_by_category": f"with {_PLAN} select category, cast(sum(n) as bigint) as n from scan group by 1",
     "term_compliance": f"""with {_PAIRS}, v as (select doc_id, block_ord, key, {_HAS('target_text', 'head')} as has_head, alternative <> '' and {_HAS('target_text', 'alternative')} as has_alt, preserve,

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import control, datums, facts, jobs, judge, report, score, segments, store, structure, terms, verify
 from ..operators.english import normalize_target
 from ..sources import readers, writers
+from ..sources.scratch import kept
 from .views import SEEDED, SEEDED_GUJARATI, bitext, numbered, spread, table, turns
 
 KEYS = ["doc_id", "block_ord"]
@@ -389,6 +390,21 @@ def term_scan(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_scan(_documents(spark, d), _terms(spark), "text", ("doc_id",)).select("doc_id", "key", "category", "n")
 
 
+@query
+def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary as large as the corpus has words: what each document has of it."""
+    docs = _documents(spark, d)
+    known = docs.select(F.explode(terms.words(F.col("text"))).alias("w")).filter("length(w) >= 4").groupBy("w").count().filter("count >= 2")
+    none = F.array().cast("array<string>")
+    entries = known.select(
+        F.col("w").alias("source"), F.concat("w", F.lit(" (a term of the dictionary)")).alias("target"), F.concat(F.lit("c"), F.length("w") % 3).alias("category"),
+        F.lit(False).alias("preserve"), none.alias("alternatives"), F.array(F.concat("w", F.lit("-"), "w")).alias("aliases"),
+    )
+    dictionary = kept(terms.glossary_table(entries), "dictionary")
+    scan = terms.term_scan(docs, dictionary, "text", ("doc_id",))
+    return scan.groupBy("doc_id", "category").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_hits"))
+
+
 @query
 def term_plan(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_plan(_scan(spark, d), _terms(spark)).select("doc_id", "key", "head", "cnt", "first_use_block", "glossed")
