@@ -6,7 +6,14 @@ only; the rules here mean it the other way round.
 
 from __future__ import annotations
 
+import re
+
 BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+_WORD = "[A-Za-z0-9_]"
+#: What a word boundary comes to before and after a character of a word.
+OPENS, CLOSES = f"(?<!{_WORD})", f"(?!{_WORD})"
+_BEFORE = re.compile(r"(?:\(\?:)*\[(?:0-9|A-Z|A-Za-z)\](?![?*])|[A-Za-z0-9](?![?*])")
+_AFTER = re.compile(r"(?:\[0-9\]|\\d)(?:\+|\{[1-9]\d*(?:,\d+)?\})?$")
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -16,7 +23,8 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     while at < len(pattern):
         two = pattern[at : at + 2]
         if two == r"\b" and not inside:
-            out.append(BOUNDARY)
+            opens, closes = _BEFORE.match(pattern, at + 2), _AFTER.search(pattern[:at])
+            out.append(OPENS if opens else CLOSES if closes else BOUNDARY)
         elif two == r"\s":
             out.append(BLANKS if inside else f"[{BLANKS}]")
         elif two == r"\S" and not inside:

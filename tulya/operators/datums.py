@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,52 +24,110 @@ ADDED = ["currency", "number", "date"]
 _FOUND = "struct<start:int,end:int,prio:int,kind:string,surface:string,role:string>"
 
 
-def _row(s: Column, prio: int, kind: str) -> Column:
+def _row(s: Column, prio: Column, kind: Column) -> Column:
     return F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(prio).alias("prio"), F.lit(kind).alias("kind"),
+        s["start"].alias("start"), s["end"].alias("end"), prio.alias("prio"), kind.alias("kind"),
         s["surface"].alias("surface"), F.lit(None).cast("string").alias("role"),
     )
 
 
 def _rows(found: Column, prio: int, kind: str) -> Column:
-    return F.transform(found, lambda s: _row(s, prio, kind))
+    return F.transform(found, lambda s: _row(s, F.lit(prio), F.lit(kind)))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches as array of struct(start, end, surface), start from 0.
+#: Values to a chunk of running().
+_CHUNK = 64
+
 
-    Matches are marked with control characters, the text is cut at these, and one
-    fold over the pieces' lengths gives the places. The text must hold none of these
-    itself (see text.without_marks).
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """What op has made of all values before each one; zero before the first.
+
+    op is associative with zero as its identity. Appending to an array copies it, so
+    long arrays are worked on in chunks: over n values the work grows with n, not with
+    its square.
     """
-    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
-    kind = "array<struct<start:int,end:int,surface:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(kind).alias("out"))
+    def before(vs: Column, start: Column) -> Column:
+        full = F.aggregate(vs, F.array(start), lambda a, x: F.array_append(a, op(F.element_at(a, -1), x)))
+        return F.slice(full, F.lit(1), F.size(vs))
 
-    def step(s: Column, x: Column) -> Column:
-        end = s["at"] + F.length(x)
-        row = F.struct(s["at"].alias("start"), end.alias("end"), x.alias("surface"))
-        return F.struct(
-            end.alias("at"), (~s["hit"]).alias("hit"),
-            F.when(s["hit"], F.array_append(s["out"], row)).otherwise(s["out"]).alias("out"),
-        )
+    def chunked(vs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / _CHUNK).cast("int")), lambda i: F.slice(vs, i * _CHUNK + 1, F.lit(_CHUNK)))
+        starts = before(F.transform(chunks, lambda c: F.aggregate(c, zero, op)), zero)
+        return X.let(F.struct(chunks.alias("chunks"), starts.alias("starts")), lambda s: F.flatten(F.transform(s["chunks"], lambda c, i: before(c, F.get(s["starts"], i)))))
+
+    return X.let(values, lambda vs: F.when(F.size(vs) <= _CHUNK, before(vs, zero)).otherwise(chunked(vs)))
+
+
+_SPANS = "array<struct<start:int,end:int,surface:string>>"
 
-    found = F.aggregate(parts, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))  # most texts lack most patterns
+
+def marked(text: Column, pattern: str, needs: list[str] | None = None, any_case: bool = False) -> Column:
+    """The text with its matches between control characters; null for one with none of ``needs``, which isn't searched."""
+    out = F.regexp_replace(text, pattern, "\u0001$0\u0002")
+    return out if needs is None else F.when(has_any(text, needs, any_case), out)
+
+
+def places(marks: Column) -> Column:
+    """array of struct(start, end, surface), start from 0, for each of an array of marked texts.
+
+    A marked text is cut at its control characters, and the lengths of the pieces before
+    one give its place. The text must hold none of these itself (see text.without_marks).
+    """
+    def placed(parts: Column) -> Column:
+        starts = running(F.transform(parts, F.length), lambda a, x: a + x, F.lit(0))
+        every = F.transform(F.arrays_zip(starts.alias("at"), parts.alias("x")), lambda z, i: F.when(
+            i % 2 == 1, F.struct(z["at"].alias("start"), (z["at"] + F.length(z["x"])).alias("end"), z["x"].alias("surface"))
+        ))
+        return F.filter(every, lambda e: e.isNotNull())
+
+    cut = F.transform(marks, lambda m: F.split(F.coalesce(m, F.lit("")), "[\u0001\u0002]", -1))
+    return F.transform(cut, lambda parts: F.when(F.size(parts) > 1, placed(parts)).otherwise(F.array().cast(_SPANS)))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """All matches as array of struct(start, end, surface), start from 0."""
+    return F.get(places(F.array(marked(text, pattern))), 0)
+
+
+def has_any(text: Column, parts: list[str], any_case: bool = False) -> Column:
+    """Whether a text has one of the parts; in any case, as patterns of any case have it, the parts are in lower case."""
+    if any_case:
+        text = F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii"))
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(text, F.lit(part))
+    return out
 
 
 def disjoint(found: Column) -> Column:
-    """Of overlapping spans the longest, then the first, then the most important; in order of place."""
-    ranked = F.array_sort(
-        F.transform(found, lambda f: F.struct((f["start"] - f["end"]).alias("longest"), f["start"].alias("start"), f["prio"].alias("prio"), f.alias("f")))
-    )
-    kept = F.aggregate(
-        ranked, F.array().cast(f"array<{_FOUND}>"),
-        lambda a, r: F.when(
-            F.exists(a, lambda k: (r["f"]["start"] < k["end"]) & (k["start"] < r["f"]["end"])), a
-        ).otherwise(F.array_append(a, r["f"])),
-    )
-    return F.array_sort(kept)
+    """Of overlapping spans the longest, then the first, then the most important; in order of place.
+
+    In order of place, spans fall into groups that don't overlap each other; only
+    within a group of several are they weighed against one another.
+    """
+    def best(group: Column) -> Column:
+        ranked = F.array_sort(
+            F.transform(group, lambda f: F.struct((f["start"] - f["end"]).alias("longest"), f["start"].alias("start"), f["prio"].alias("prio"), f.alias("f")))
+        )
+        kept = F.aggregate(
+            ranked, F.array().cast(f"array<{_FOUND}>"),
+            lambda a, r: F.when(
+                F.exists(a, lambda k: (r["f"]["start"] < k["end"]) & (k["start"] < r["f"]["end"])), a
+            ).otherwise(F.array_append(a, r["f"])),
+        )
+        return F.array_sort(kept)
+
+    def grouped(rows: Column, heads: Column) -> Column:
+        ends = F.concat(F.slice(heads, F.lit(2), F.size(heads)), F.array(F.size(rows)))
+        return F.transform(F.arrays_zip(heads.alias("a"), ends.alias("b")), lambda z: F.slice(rows, z["a"] + 1, z["b"] - z["a"]))
+
+    def swept(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda f: f["end"]), lambda a, x: F.greatest(a, x), F.lit(-1))
+        at = F.transform(F.arrays_zip(rows.alias("f"), reach.alias("reach")), lambda z, i: F.when(z["f"]["start"] >= z["reach"], i))
+        heads = F.filter(at, lambda i: i.isNotNull())
+        return X.let(heads, lambda h: F.flatten(F.transform(grouped(rows, h), lambda g: F.when(F.size(g) == 1, g).otherwise(best(g)))))
+
+    return X.let(F.array_sort(found), lambda rows: F.when(F.size(rows) <= 1, rows).otherwise(swept(rows)))
 
 
 def _two(n: Column) -> Column:
@@ -147,16 +208,22 @@ def normalized(kind: Column, surface: Column) -> Column:
 
 def facts(text: Column) -> Column:
     """array of struct(start, end, prio, kind, surface): amounts, dates, references, numbers."""
-    ascii_text = X.to_ascii_digits(text)
-    found = [
-        _rows(spans(ascii_text, java(pattern, any_case)), R.PRIORITY.index(kind), kind)
-        for kind, _, pattern, any_case in R.PATTERNS
-    ]
-    return disjoint(F.concat(*found))
+    kinds = F.array(*(F.struct(F.lit(R.PRIORITY.index(kind)).alias("prio"), F.lit(kind).alias("kind")) for kind, *_ in R.PATTERNS))
+
+    def found(ascii_text: Column) -> Column:
+        marks, seen = [], Counter()
+        for kind, _, pattern, any_case in R.PATTERNS:
+            needs = R.NEEDS.get(kind)
+            rx = java(pattern.replace("[0-9૦-૯]", "[0-9]"), any_case)  # all digits are ASCII here
+            marks.append(marked(ascii_text, rx, needs and needs[seen[kind]], any_case))
+            seen[kind] += 1
+        rows = F.transform(places(F.array(*marks)), lambda g, i: F.transform(g, lambda s: _row(s, F.get(kinds, i)["prio"], F.get(kinds, i)["kind"])))
+        return disjoint(F.flatten(rows))
+
+    return X.let(X.to_ascii_digits(text), found)
 
 
-def _named(text: Column, pattern: str, kind: str, prio: int, any_case: bool = False, least: int = 3, role: bool = False) -> Column:
-    rx = java(pattern, any_case)
+def _named(found: Column, rx: str, kind: str, prio: int, least: int = 3, role: bool = False) -> Column:
     tail = "$" if kind == "place" else "[,.]$"
 
     def row(s: Column) -> Column:
@@ -170,13 +237,23 @@ def _named(text: Column, pattern: str, kind: str, prio: int, any_case: bool = Fa
             (F.when(label != "", label) if role else F.lit(None).cast("string")).alias("role"),
         )
 
-    return F.filter(F.transform(spans(text, rx), row), lambda s: F.length(s["surface"]) >= least)
+    return F.filter(F.transform(found, row), lambda s: F.length(s["surface"]) >= least)
 
 
 def names(text: Column) -> Column:
     """array as of facts: persons, parties with their role, institutions, written counts."""
+    words = "|".join(sorted(R.COUNTS, key=lambda k: (-len(k), k)))
+    rx = {
+        "honorific": java(R.HONORIFIC), "latin_honorific": java(R.LATIN_HONORIFIC), "role": java(R.ROLE, True),
+        "institution": java(R.INSTITUTION), "count": java(rf"\b({words})\b"),
+    }
+    marks = F.array(*(marked(text, x, R.NAME_NEEDS.get(name), name == "role") for name, x in rx.items()))
+    return X.let(places(marks), lambda found: _names(dict(zip(rx, (F.get(found, i) for i in range(len(rx))))), rx))
+
+
+def _names(found: dict[str, Column], rx: dict[str, str]) -> Column:
     people = F.concat(
-        _named(text, R.HONORIFIC, "person_name", 20), _named(text, R.LATIN_HONORIFIC, "person_name", 21, least=1)
+        _named(found["honorific"], rx["honorific"], "person_name", 20), _named(found["latin_honorific"], rx["latin_honorific"], "person_name", 21, least=1)
     )
     keyed = F.transform(people, lambda p: F.struct(X.name_key(p["surface"]).alias("key"), p.alias("p")))
     # The first of each key, by pattern and place.
@@ -185,15 +262,13 @@ def names(text: Column) -> Column:
         lambda a, k: F.when((k["key"] == "") | F.exists(a, lambda o: o["key"] == k["key"]), a).otherwise(F.array_append(a, k)),
     )
     parties = F.filter(
-        _named(text, R.ROLE, "party_name", 22, any_case=True, role=True),
+        _named(found["role"], rx["role"], "party_name", 22, role=True),
         lambda p: ~F.lower(F.substring_index(p["surface"], " ", 1)).isin(R.CONNECTORS)
         & (F.size(F.split(p["surface"], " ")) <= 4)
         & (X.name_key(p["surface"]) != ""),
     )
-    places = _named(text, R.INSTITUTION, "place", 23, least=4)
-    words = "|".join(sorted(R.COUNTS, key=lambda k: (-len(k), k)))
-    counts = _rows(spans(text, java(rf"\b({words})\b")), 24, "count_phrase")
-    return F.concat(F.transform(once, lambda k: k["p"]), parties, places, counts)
+    places_ = _named(found["institution"], rx["institution"], "place", 23, least=4)
+    return F.concat(F.transform(once, lambda k: k["p"]), parties, places_, _rows(found["count"], 24, "count_phrase"))
 
 
 def extract_datums(blocks: DataFrame, text_col: str, origin: str, keys: list[str], *, with_names: bool = True) -> DataFrame:

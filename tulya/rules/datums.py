@@ -26,6 +26,30 @@ PATTERNS = [
     ("address_pin", "minor", rf"\b(?:PIN|Pin\.?|પિન|PINCode)\s*[-\s]?\s*({_D}{{6}})\b", False),
     ("number", "major", rf"\b{_NUMBER}\b", False),
 ]
+#: Of these a text has one where a pattern of the kind is found (in lower case for patterns of any case).
+NEEDS = {
+    "currency": [["₹", "Rs", "INR", "Rupees", "રૂ"], ["/-"]],
+    "percentage": [["%", "ટકા", "ટકે", "percent", "per cent"]],
+    "statute": [["IPC", "BNS", "CrPC", "CPC", "IEA", "BSA", "NIA", "SARFAESI", "PMLA", "POCSO", "NDPS", "ULAP", "GARB", "Act", "ધારા", "કાયદા"]],
+    "section_ref": [[
+        "Section", "Article", "Order", "Rule", "Schedule", "Chapter", "Part", "Clause", "કલમ", "ધારા", "અનુચ્છેદ", "નિયમ", "પ્રકરણ", "અંગ",
+        "અનુસૂચિ", "ખંડ", "વિગત",
+    ]],
+    "time": [[":", "."]],
+    "address_pin": [["PIN", "Pin", "પિન"]],
+}
+NAME_NEEDS = {
+    "honorific": ["શ્રી", "કુ.", "ડા.", "મુ.", "પ્રો."],
+    "latin_honorific": ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Shri", "Smt."],
+    "role": [
+        "વાદી", "આરોપી", "ફરિયાદકર્તા", "હિસ્સેદાર", "જમીનર", "સત્તાવિહી", "પક્ષ", "respondent", "petitioner", "plaintiff", "appellant", "accused",
+    ],
+    "institution": [
+        "લિ", "પ્રાઇવેટ", "ટ્રેડિંગ", "એન્ટરપ્રાઇઝિસ", "સોસાયટી", "બેંક", "ફાઉન્ડેશન", "હોસ્પિટલ", "ટ્રસ્ટ", "એસોસિએશન", "ઇન્સ્ટીટ્યુટ",
+        "યુનિવર્સિટી", "કોલેજ", "ન્યાયાલય", "પોલીસ", "કલેક્ટરેટ", "Limited", "Ltd", "Private", "Pvt", "Trading", "Enterprises", "Society",
+        "Bank", "Foundation", "Hospital", "Trust", "Association", "Institute", "University", "College", "Court", "Police",
+    ],
+}
 PRIORITY = ["currency", "percentage", "section_ref", "case_number", "statute", "date", "time", "address_pin", "number"]
 
 _W = "(?:[઀-૿A-Za-z][઀-૿A-Za-z.'’-]*)"
