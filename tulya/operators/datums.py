@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..functions import text as X
 from ..functions.jsregex import BLANKS, java
 from ..rules import datums as R
 from ..rules import values as V
+from ..sources.scratch import kept
 
 _SEVERITY = {"person_name": "major", "party_name": "critical", "place": "major", "count_phrase": "minor"} | {
     kind: severity for kind, severity, _, _ in R.PATTERNS
@@ -353,7 +353,7 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     in_block = Window.partitionBy(*keys)
     doubtful = F.max((F.col("side") == "s") & (F.col("kind") == "date") & F.col("normalized").startswith("AMBIG:"))
     both = both.withColumn("_fold", F.col("kind").isin(ordered) | ((F.col("kind") == "date") & doubtful.over(in_block)))
-    both = both.persist()  # either way of matching reads it; what is lost is extracted again
+    both = kept(both, "facts")  # either way of matching reads it
     plain = both.filter("not _fold").drop("_fold")
     plain = plain.withColumn("key", match_key(F.col("kind"), F.col("surface"), F.col("normalized")))
     of_kind = Window.partitionBy(*keys, "kind")
@@ -391,69 +391,61 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
 
 
 def _match_in_order(rows: DataFrame, keys: list[str], like: DataFrame) -> DataFrame:
-    """Names by similarity of their keys and dates by readings, first unused fit, one block at a time."""
-    rows = rows.withColumns({"_latin": X.latin_key("surface"), "_key": X.name_key("surface")})
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "ord"]).reset_index(drop=True)
-        blank = bool(pdf["target_blank"].fillna(True).iloc[0])
-        pool = [i for i in pdf.index if pdf.at[i, "side"] == "t"]
-        used: set[int] = set()
-        status, note, other = {}, {}, {}
-        readings = lambda v: set(v[6:].split("|")) if v.startswith("AMBIG:") else {v}
-        n_source = (pdf["side"].eq("s") & pdf["kind"].eq("date")).sum()
-        for i in [i for i in pdf.index if pdf.at[i, "side"] == "s"]:
-            kind, value = pdf.at[i, "kind"], pdf.at[i, "normalized"]
-            if kind != "date":
-                for j in pool:
-                    if j in used or pdf.at[j, "kind"] not in (kind, "person_name"):
-                        continue
-                    close = _alike(pdf.at[i, "_key"], pdf.at[j, "_latin"] or pdf.at[j, "_key"])
-                    if close >= 0.85:
-                        used.add(j)
-                        status[i], other[i] = "agreed", pdf.at[j, "surface"]
-                        note[i] = "spelling" if close < 0.9 else None
-                        break
-                else:
-                    status[i] = "silent" if blank else "missing"
-                continue
-            left = [j for j in pool if j not in used and pdf.at[j, "kind"] == "date"]
-            doubtful = value.startswith("AMBIG:")
-            fits = [j for j in left if pdf.at[j, "normalized"] == value or (doubtful and readings(value) & readings(pdf.at[j, "normalized"]))]
-            if fits:
-                used.add(fits[0])
-                status[i], other[i] = "ambiguous" if doubtful else "agreed", pdf.at[fits[0], "surface"]
-            elif doubtful:
-                status[i] = "missing"
-            elif len(left) == 1 and n_source == 1:
-                used.add(left[0])
-                status[i], other[i] = "changed", pdf.at[left[0], "surface"]
-            elif blank:
-                status[i] = "silent"
-            else:
-                found = any(j in used and pdf.at[j, "kind"] == "date" and pdf.at[j, "normalized"] == value for j in pool)
-                status[i] = "repeated" if found else "missing"
-        for j in pool:
-            status[j] = "agreed" if j in used else "added" if pdf.at[j, "kind"] == "date" and n_source else "extra"
-        pdf["status"] = [status[i] for i in pdf.index]
-        pdf["note"] = [note.get(i) for i in pdf.index]
-        pdf["other"] = [other.get(i) for i in pdf.index]
-        return pdf[columns]
-
-    columns = [f.name for f in like.schema]
-    return rows.groupBy(*keys).applyInPandas(block, like.schema)
-
-
-def _alike(a: str, b: str) -> float:
-    """1 - edit distance / longer length; 0 if one is empty."""
-    if not a or not b:
-        return 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+    """Names by similarity of their keys and dates by readings, first unused fit, in order of place.
+
+    What fits what is a join within a block, with the edit distance bounded by what a
+    match allows; which fit is still free is a fold over the block's facts, in order, that
+    carries the places taken. Both stay in the JVM; a block holds its own facts only.
+    """
+    key, latin = X.name_key("surface"), X.latin_key("surface")
+    date = F.col("kind") == "date"
+    rows = rows.withColumns({"_key": key, "_latin": F.when(latin != "", latin).otherwise(key)})
+    readings = F.when(F.col("normalized").startswith("AMBIG:"), F.split(F.substr("normalized", F.lit(7)), r"\|")).otherwise(F.array("normalized"))
+    rows = rows.withColumn("_read", F.when(date, readings))
+    side = lambda name, *more: rows.filter(F.col("side") == name).select(*keys, *(F.col(c).alias(f"{name}_{c.strip('_')}") for c in ("ord", "kind", "normalized", "_read", *more)))
+    s, t = side("s", "_key", "target_blank"), side("t", "_latin", "surface")
+    longest = F.greatest(F.length("s_key"), F.length("t_latin"))
+    most = F.floor(longest * 0.15 + 1e-9).cast("int")  # as many edits as leave 0.85
+    edits = F.levenshtein("s_key", "t_latin")
+    by_name = (
+        (F.col("s_kind") != "date") & F.col("t_kind").isin("person_name", "party_name") & ((F.col("t_kind") == F.col("s_kind")) | (F.col("t_kind") == "person_name"))
+        & (F.col("s_key") != "") & (F.col("t_latin") != "") & (F.abs(F.length("s_key") - F.length("t_latin")) <= most) & (1 - edits / longest >= 0.85)
+    )
+    same = F.col("s_normalized") == F.col("t_normalized")
+    doubtful = F.col("s_normalized").startswith("AMBIG:")
+    by_date = (F.col("s_kind") == "date") & (F.col("t_kind") == "date") & (same | (doubtful & F.arrays_overlap("s_read", "t_read")))
+    fit = F.struct(F.col("t_ord").alias("t"), F.when(F.col("s_kind") != "date", 1 - edits / longest).alias("close"), same.alias("same"), F.col("t_surface").alias("surface"))
+    fits = s.join(t, keys).filter(by_name | by_date).groupBy(*keys, "s_ord").agg(F.array_sort(F.collect_list(fit)).alias("fits"))
+    asked = s.join(fits, [*keys, "s_ord"], "left")
+    fact = F.struct("s_ord", F.col("s_kind").alias("kind"), doubtful.alias("doubtful"), F.coalesce("s_target_blank", F.lit(True)).alias("blank"), "fits")
+    blocks = asked.groupBy(*keys).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    taken = "array<struct<ord:int,t:int,status:string,note:string,other:string>>"
+
+    def step(out: Column, f: Column) -> Column:
+        used = F.filter(F.transform(out, lambda o: o["t"]), lambda t: t.isNotNull())
+        is_date = f["kind"] == "date"
+
+        def row(fit: Column) -> Column:
+            again = F.exists(F.coalesce(f["fits"], F.array().cast(fits.schema["fits"].dataType)), lambda x: x["same"] & F.array_contains(used, x["t"]))
+            status = (
+                F.when(fit.isNotNull(), F.when(is_date & f["doubtful"], "ambiguous").otherwise("agreed"))
+                .when(is_date & f["doubtful"], "missing").when(f["blank"], "silent")
+                .when(is_date & again, "repeated").otherwise("missing")
+            )
+            note = F.when(~is_date & (fit["close"] < 0.9), "spelling")
+            return F.array_append(out, F.struct(f["s_ord"].alias("ord"), fit["t"].alias("t"), status.alias("status"), note.alias("note"), fit["surface"].alias("other")))
+
+        return X.let(F.get(F.filter(f["fits"], lambda x: ~F.array_contains(used, x["t"])), 0), row)
+
+    found = blocks.select(*keys, F.explode(F.aggregate("facts", F.array().cast(taken), step)).alias("o")).select(*keys, "o.*")
+    fields = [*keys, "side", "kind", "surface", "normalized", "ord", "severity", "context"]
+    sources = rows.filter("side = 's'").select(*fields).join(found.drop("t"), [*keys, "ord"])
+    dates = rows.filter((F.col("side") == "s") & date).select(*keys).distinct().withColumn("_dates", F.lit(True))
+    targets = rows.filter("side = 't'").select(*fields).join(found.filter("t is not null").select(*keys, F.col("t").alias("ord"), F.lit(True).alias("_used")), [*keys, "ord"], "left")
+    targets = targets.join(dates, keys, "left").withColumn("status", F.when(F.col("_used"), "agreed").when(date & F.col("_dates"), "added").otherwise("extra"))
+    targets = targets.withColumns({"note": F.lit(None).cast("string"), "other": F.lit(None).cast("string")})
+    names_ = like.columns
+    return sources.select(*names_).union(targets.select(*names_))
 
 
 def datum_findings(matched: DataFrame, keys: list[str]) -> DataFrame:
