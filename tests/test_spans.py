@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tulya.operators import datums
+from tulya.operators import datums, verify
 
 
 def test_running_equals_a_loop_over_any_length(spark):
@@ -48,3 +48,20 @@ def test_a_text_of_many_facts(spark):
     df = spark.createDataFrame([(1, text)], "doc_id int, t string")
     got = datums.extract_datums(df, "t", "s", ["doc_id"], with_names=False).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in got} == {"currency": 3000, "date": 3000}
+
+
+def test_bands_align_as_plain_loops_do():
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    text = lambda n: [set(r.choices(words, k=r.randint(0, 6))) for _ in range(n)]
+    before = verify._BAND
+    try:
+        for band in (1, 2, 7, 256):
+            verify._BAND = band
+            for _ in range(15):
+                a, b = text(r.randint(1, 30)), text(r.randint(1, 30))
+                assert list(verify._banded_moves(a, b)) == list(verify._plain_moves(a, b))
+        a, b = text(300), text(330)
+        assert list(verify._banded_moves(a, b)) == list(verify._plain_moves(a, b))
+    finally:
+        verify._BAND = before

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,30 +73,123 @@ def align(df: DataFrame, source_col: str, target_col: str, id_col: str = "doc_id
     return plain.unionByName(rest.mapInPandas(run, f"{id_col} {kind}, {_ALIGNED}"))
 
 
+#: Sentence pairs up to which plain loops are quicker, and rows that are worked on at a time beyond.
+_FEW, _BAND = 1500, 256
+
+
 def _align(src: list, tgt: list) -> tuple[list[dict], list[int], list[int]]:
-    """Pairs in order; places without a partner, last first. Of equal scores a pair comes before a source gap."""
+    """Pairs in order; places without a partner, last first. Of equal scores a pair comes before a source gap.
+
+    The scores are of Needleman and Wunsch. Few sentences are scored in plain loops, many
+    in bands of rows, along each band's diagonals: kept are the scores above every band,
+    and on the way back a band is scored again with its directions. Memory is a band and
+    a row for each band, not all pairs; either way the numbers are the same to the last bit.
+    """
     a, b = [set(x) for x in src], [set(x) for x in tgt]
-    like = [[len(x & y) / min(len(x), len(y)) if x and y else 0.0 for y in b] for x in a]
-    n, m = len(a), len(b)
-    score = [[GAP * j for j in range(m + 1)]] + [[GAP * i] + [0.0] * m for i in range(1, n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i][j] = max(score[i - 1][j - 1] + like[i - 1][j - 1], score[i - 1][j] + GAP, score[i][j - 1] + GAP)
     pairs, lone_src, lone_tgt = [], [], []
-    i, j = n, m
-    while i or j:
-        if i and j and score[i][j] == score[i - 1][j - 1] + like[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            pairs.append({"src": i, "tgt": j, "confidence": like[i][j]})
-        elif i and (not j or score[i][j] == score[i - 1][j] + GAP):
-            i -= 1
+    for move, i, j in _plain_moves(a, b) if len(a) * len(b) <= _FEW else _banded_moves(a, b):
+        if move == 0:
+            pairs.append({"src": i, "tgt": j, "confidence": len(a[i] & b[j]) / min(len(a[i]), len(b[j])) if a[i] and b[j] else 0.0})
+        elif move == 1:
             lone_src.append(i)
         else:
-            j -= 1
             lone_tgt.append(j)
     return pairs[::-1], lone_src, lone_tgt
 
 
+def _walk(n: int, m: int, move_at: Callable[[int, int], int]) -> Iterator[tuple[int, int, int]]:
+    """Moves from the end to the start: 0 a pair, 1 a source, 2 a target alone, with the places."""
+    i, j = n, m
+    while i or j:
+        move = 1 if not j else 2 if not i else move_at(i, j)
+        i, j = i - (move != 2), j - (move != 1)
+        yield move, i, j
+
+
+def _plain_moves(a: list[set], b: list[set]) -> Iterator[tuple[int, int, int]]:
+    n, m = len(a), len(b)
+    score = [[GAP * j for j in range(m + 1)]] + [[GAP * i] + [0.0] * m for i in range(1, n + 1)]
+    moves = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            x, y = a[i - 1], b[j - 1]
+            pair = score[i - 1][j - 1] + (len(x & y) / min(len(x), len(y)) if x and y else 0.0)
+            up, left = score[i - 1][j] + GAP, score[i][j - 1] + GAP
+            score[i][j] = best = max(pair, up, left)
+            moves[i][j] = 0 if best == pair else 1 if best == up else 2
+    return _walk(n, m, lambda i, j: moves[i][j])
+
+
+def _banded_moves(a: list[set], b: list[set]) -> Iterator[tuple[int, int, int]]:
+    n, m = len(a), len(b)
+    where: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        for w in y:
+            where.setdefault(w, []).append(j)
+    places, sizes = {w: np.array(js) for w, js in where.items()}, np.array([len(y) for y in b])
+
+    def likeness(at: int, rows: int) -> np.ndarray:
+        out = np.zeros((rows, m))
+        for r in range(rows):
+            x = a[at + r]
+            shared = [places[w] for w in x if w in places]
+            if shared:
+                common = np.bincount(np.concatenate(shared), minlength=m)
+                out[r] = common / np.maximum(np.minimum(sizes, len(x)), 1)
+        return out
+
+    def band(at: int, above: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
+        """Scores of the last row of the band that starts behind row at, whose scores are above."""
+        rows = min(_BAND, n - at)
+        like = likeness(at, rows)
+        skewed = np.zeros((m + rows - 1, rows))  # a diagonal of pairs a row
+        for r in range(rows):
+            skewed[r : r + m, r] = like[r]
+        del like
+        first = np.array([GAP * (at + r) for r in range(1, rows + 1)])  # scores before the first target
+        last, every = np.full(m + 1, 0.0), np.arange(rows)
+        last[0] = first[-1]
+        one = two = np.zeros(rows)  # scores of the last two diagonals, by row
+        for d in range(m + rows - 1):
+            low, high = max(0, d - m + 1), min(d, rows - 1) + 1
+            r = every[low:high]
+            j = d - r  # the target of each row
+            left = np.where(j == 0, first[low:high], one[low:high])
+            up, pair = np.empty(high - low), np.empty(high - low)
+            up[1 if low == 0 else 0 :] = one[max(low - 1, 0) : high - 1]
+            pair[1 if low == 0 else 0 :] = two[max(low - 1, 0) : high - 1]
+            if low == 0:
+                up[0], pair[0] = above[d + 1], above[d]
+            if j[-1] == 0 and high > 1:
+                pair[-1] = first[high - 2]
+            pair += skewed[d, low:high]
+            up += GAP
+            left = left + GAP
+            best = np.maximum(np.maximum(pair, up), left)
+            if moves is not None:
+                moves[r, j] = np.where(best == pair, 0, np.where(best == up, 1, 2))
+            two, one = one, one.copy() if d else np.zeros(rows)
+            one[low:high] = best
+            if high == rows:
+                last[d - rows + 2] = best[-1]
+        return last
+
+    above = [np.array([GAP * j for j in range(m + 1)])]
+    for at in range(0, n, _BAND):
+        above.append(band(at, above[-1]))
+    held: dict[int, np.ndarray] = {}
+
+    def move_at(i: int, j: int) -> int:
+        k = (i - 1) // _BAND
+        if k not in held:
+            held.clear()
+            held[k] = np.zeros((min(_BAND, n - k * _BAND), m), np.uint8)
+            band(k * _BAND, above[k], held[k])
+        return int(held[k][i - 1 - k * _BAND, j - 1])
+
+    return _walk(n, m, move_at)
+
+
 _FINDING = ["check", "category", "severity", "title", "source_excerpt", "target_excerpt"]
 
 

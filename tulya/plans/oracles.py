@@ -36,6 +36,23 @@ def _normalized(c: str) -> str:
     return _trim(c)
 
 
+_BLANKS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _sentences(c: str) -> str:
+    """As text.split_sentences: dots of abbreviations hidden, cut, shown again. A letter after one match may come before the next, so each goes twice."""
+    out = f"translate(coalesce({c}, ''), chr(1) || chr(2), '  ')"
+    for word in sorted({w for w in V.ABBREVIATIONS if "." in w}, key=lambda w: (-len(w), w)):
+        parts = word.split(".")
+        rx = "(^|[^\\p{L}\\p{M}])(" + ")\\.(".join(parts) + ")($|[^\\p{L}\\p{M}])"
+        by = "'\\1'" + "".join(f" || '\\{i + 2}'" + (" || chr(1)" if i < len(parts) - 1 else "") for i in range(len(parts))) + f" || '\\{len(parts) + 2}'"
+        for _ in range(2):
+            out = f"regexp_replace({out}, {_s(rx)}, {by}, 'gi')"
+    cut = f"regexp_replace(regexp_replace({out}, '([।.!?]){_BLANKS}+', '\\1' || chr(2), 'g'), '\\n+', chr(2), 'g')"
+    trimmed = f"regexp_replace(translate(x, chr(1), '.'), '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(2)), lambda x: {trimmed}), lambda x: x <> '')"
+
+
 # What bitext holds is known: an amount and a date on either side, put wrong by k.
 _FACTS = f"""
 {BITEXT},
@@ -255,6 +272,33 @@ select doc_id, block_ord from m where {_RATIO('t')} > 0.08""",
     "echo_only": "select l_orderkey, l_linenumber, ['[12]', ' - ', 'text', '-', '[x]'][1 + l_linenumber % 5] as t from lineitem where l_linenumber % 5 in (0, 1, 3)",
     "term_scan": f"""with {_TERMS}, tok as (select doc_id, unnest({_TOKENS.format(c='text')}) as w from documents)
 select doc_id, key, category, count(*) as n from tok join terms on w = key group by all""",
+    "split_sentences": f"""with s as (select doc_id, unnest({_sentences('text')}) as x from documents)
+select doc_id, count(*) as n, cast(sum(length(x)) as bigint) as n_chars from s group by 1""",
+    "alignment": f"""with {TURNS},
+s as (select doc_id || '-' || block_ord as id, {_sentences('source_text')} as s, {_sentences('target_text')} as t from turns),
+words as (
+  select id, len(s) as n, len(t) as m,
+    list_transform(s, lambda x: list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda w: length(w) > 2))) as a,
+    list_transform(t, lambda x: list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda w: length(w) > 2))) as b from s),
+likes as (
+  select id, n, m, list_transform(a, lambda x: list_transform(b, lambda y:
+    case when len(x) = 0 or len(y) = 0 then 0.0::double else len(list_intersect(x, y))::double / least(len(x), len(y)) end)) as likes from words where n <> m and n > 0 and m > 0),
+rows as (
+  with recursive nw(id, i, best) as (
+    select id, 0, list_transform(range(0, m + 1), lambda j: {{'s': -0.35::double * j, 'c': 0::bigint}}) from likes
+    union all
+    select nw.id, nw.i + 1, list_reduce(
+      list_prepend([{{'s': -0.35::double * (nw.i + 1), 'c': 0::bigint}}], list_transform(range(1, l.m + 1), lambda j: [{{'s': 0::double, 'c': j::bigint}}])),
+      lambda done, x: list_append(done, case
+        when nw.best[x[1].c].s + l.likes[nw.i + 1][x[1].c] >= greatest(nw.best[x[1].c + 1].s - 0.35::double, done[x[1].c].s - 0.35::double)
+          then {{'s': nw.best[x[1].c].s + l.likes[nw.i + 1][x[1].c], 'c': nw.best[x[1].c].c + 1}}
+        when nw.best[x[1].c + 1].s - 0.35::double >= done[x[1].c].s - 0.35::double then {{'s': nw.best[x[1].c + 1].s - 0.35::double, 'c': nw.best[x[1].c + 1].c}}
+        else {{'s': done[x[1].c].s - 0.35::double, 'c': done[x[1].c].c}} end))
+    from nw join likes l on nw.id = l.id where nw.i < l.n)
+  select nw.id, nw.best[-1].c as n_pairs from nw join likes l on nw.id = l.id and nw.i = l.n)
+select w.id, case when n = m then 'positional' else 'resegmented' end as method, n = m as exact,
+  cast(case when n = m then n else coalesce(r.n_pairs, 0) end as int) as n_pairs
+from words w left join rows r on w.id = r.id""",
     "term_dictionary": r"""with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}]+')) as w from documents),
 known as (select w from w where length(w) >= 4 group by 1 having count(*) >= 2),
 one as (select doc_id, w, count(*) as n from w where w in (from known) group by all)
