@@ -10,8 +10,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import rand, spark_partition_id
 
-from tulya.llm import audit, fingerprints, spelling
+from tulya.llm import audit, fingerprints, kneserney, spelling
 from tulya.llm import kernels as K
 from tulya.llm.common import new_path
 
@@ -250,3 +251,14 @@ def test_fingerprint_query_reads_all(spark, rows, docs):
     docs.write.parquet(f"{path}/documents.parquet")
     assert fingerprints.op11(spark, path).columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     assert spelling.op13(spark, path).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+# 8
+
+
+def test_perplexity_of_rows_that_come_in_another_order_each_time(spark, docs, monkeypatch):
+    monkeypatch.setattr(kneserney, "BLOCK", 20_000)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 4)], "doc_id long, quality int")
+    shuffled = docs.select("*", spark_partition_id().alias("p")).orderBy(rand()).drop("p")
+    some = {r.doc_id: round(r.perplexity, 9) for r in kneserney.perplexity_verdicts(docs, labels).collect()}
+    assert {r.doc_id: round(r.perplexity, 9) for r in kneserney.perplexity_verdicts(shuffled, labels).collect()} == some

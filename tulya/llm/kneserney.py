@@ -12,12 +12,11 @@ a quantile of the perplexities of its trusted documents.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,38 +134,33 @@ def _packed(block: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _name(nth: int, packed: bytes) -> int:
-    """A block's name: of its task, its place there and all it holds, so another division of the rows can't pass for this one."""
-    place = (TaskContext.get().partitionId() << 32 | nth).to_bytes(8, "little")
-    return int.from_bytes(hashlib.blake2b(place + packed, digest_size=8).digest(), "little", signed=True)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts under random names, which are theirs once this has been written."""
+    for block in _blocks(batches):
+        name = uuid.uuid4().int >> 65
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_packed(block)], pa.binary())], ["block", "packed"])
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nth, block in enumerate(_blocks(batches)):
-        grams = Grams(block.column(0))
-        some, _ = grams.distinct()
-        name = _name(nth, _packed(block))
-        for at in range(0, len(some), 50_000):
-            part = some[at : at + 50_000]
-            place = np.arange(at, at + len(part), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), name)), pa.array(place), grams.strings(part)], ["block", "place", "gram"]
-            )
+def _unpacked(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nth, block in enumerate(_blocks(batches)):
-        packed = _packed(block)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_name(nth, packed)]), pa.array([packed], pa.binary())], ["block", "packed"]
-        )
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            grams = Grams(_unpacked(packed).column(0))
+            some, _ = grams.distinct()
+            for at in range(0, len(some), 50_000):
+                part = some[at : at + 50_000]
+                place = np.arange(at, at + len(part), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), name)), pa.array(place), grams.strings(part)], ["block", "place", "gram"]
+                )
 
 
 def _score(texts: pa.Table, logs: pa.Table) -> pa.Table:
     """The texts of one block, scored with the log-probabilities of its n-grams."""
-    if texts.num_rows != 1 or not logs.num_rows:
-        raise ValueError("docs gives its rows in another order each time it is read; write it to a table first")
-    block = pa.ipc.open_stream(texts["packed"][0].as_buffer()).read_all().combine_chunks().to_batches()[0]
+    block = _unpacked(texts["packed"][0])
     grams = Grams(block.column(0))
     some, _ = grams.distinct()
     own = np.empty(len(some))
@@ -269,8 +263,8 @@ def perplexity_verdicts(
     Documents labelled more than once are trusted if one label says so. Rows with
     a null id are never trusted. An empty table gives an empty result. Texts of any
     length are read whole, a very long one as a block of its own. Other columns of
-    docs and labels are left out, whatever their names. docs is read twice and has to
-    give its rows in the same order both times, as files do; if not, this raises.
+    docs and labels are left out, whatever their names. The texts are written once, in
+    blocks, so docs may give its rows in any order.
     """
     spark: SparkSession = session(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -287,18 +281,19 @@ def perplexity_verdicts(
     counts = source.mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     model = kneser_ney(written(counts, "counts"))
     free(source)
-    own = written(body.mapInArrow(_distinct, "block long, place int, gram string"), "grams")
+    # Written once, so both uses below have the same blocks, however docs gives its rows.
+    blocks = written(body.mapInArrow(_pack, "block long, packed binary"), "blocks")
+    own = written(blocks.mapInArrow(_distinct, "block long, place int, gram string"), "grams")
     seen = written(own.select("gram").distinct(), "seen")
     # Written before its join, so that Spark can split the commonest n-grams, which every block has.
     logs = written(model(seen).select("gram", F.log2("p").alias("log")), "logs")
     logs = written(own.join(logs, "gram").select("block", "place", "log"), "block-logs")
     free(own, seen)
-    blocks = body.mapInArrow(_pack, "block long, packed binary")
     scored = blocks.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(
         _score, f"doc_id {kind}, lang string, n_symbols long, perplexity double"
     )
     scored = written(scored, "scored")
-    free(logs)
+    free(logs, blocks)
     trusted = scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull())
     trusted = written(trusted.drop("good_id"), "judged")
     q = F.expr(f"percentile_approx(perplexity, {quantile}, 100000)")
