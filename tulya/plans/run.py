@@ -30,7 +30,7 @@ def run(
     pages: doc_id, page_no, kind, text, confidence. translate adds target to
     segments (the offline renderer does by default); keep writes a table, by its
     name, and reads it again, so that none is worked out twice and plans stay small
-    (writers.kept does; without it the plan of the reports is too large for more
+    (scratch.kept does; without it the plan of the reports is too large for more
     than a look). Documents never wait for each other: all steps are joins and
     aggregations by document.
     """
