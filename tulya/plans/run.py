@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import datums, facts, judge, offline, report, score, segments, structure, terms, verify
 from ..operators.english import normalize_target
 from ..operators.lookups import described
+from ..operators.store import REVIEW_BELOW
 from ..sources.writers import block_targets
 
 KEYS = ["doc_id", "block_ord"]
@@ -25,32 +26,68 @@ def run(
     locks: DataFrame | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df,
 ) -> dict[str, DataFrame]:
-    """Tables blocks, segments, datums, findings, verdicts, scores, reports and narratives of a batch.
+    """Tables documents, blocks, segments and those of verified() of a batch, in the order of a single run.
 
-    pages: doc_id, page_no, kind, text, confidence. translate adds target to
-    segments (the offline renderer does by default); keep writes a table, by its
-    name, and reads it again, so that none is worked out twice and plans stay small
-    (scratch.kept does; without it the plan of the reports is too large for more
-    than a look). Documents never wait for each other: all steps are joins and
+    pages: doc_id, page_no, kind, text, confidence. A document that its preflight blocks
+    isn't translated: documents (doc_id, warnings, ok) tells which and why, and nothing
+    after that has rows of it. translate adds target to segments (the offline renderer
+    does by default; passes.translated with a provider is another); what is locked isn't
+    asked for. A segment's English is put right by the confidence of its page. keep
+    writes a table, by its name, and reads it again, so that none is worked out twice and
+    plans stay small (scratch.kept does; without it the plan of the reports is too large
+    for more than a look). Documents never wait for each other: all steps are joins and
     aggregations by document.
     """
-    blocks = keep(structure.detect_structure(pages), "blocks")
-    confidence = pages.filter("confidence is not null").groupBy("doc_id").agg(F.avg("confidence").alias("mean_ocr"))
+    every = keep(structure.detect_structure(pages), "blocks")
+    documents = keep(structure.preflight(facts.document_text(every)).select("doc_id", "warnings", "ok"), "documents")
+    blocks = every.join(documents.filter("ok").select("doc_id"), "doc_id", "left_semi")
     if translate is None:
         heads = {r["surface"]: r["head"] for r in glossary.select("surface", "head").distinct().collect()}
         translate = lambda df: offline.rendered(df, heads)
     asked = segments.build_segments(blocks)
-    answered = translate(asked.filter("not passthrough")).select("doc_id", "seg_idx", "target")
+    open_ = asked.filter("not passthrough")
+    if locks is not None:
+        open_ = open_.join(locks.select("doc_id", "seg_idx"), ["doc_id", "seg_idx"], "left_anti")
+    answered = translate(open_).select("doc_id", "seg_idx", "target")
     through = asked.filter("passthrough").select("doc_id", "seg_idx", F.col("source").alias("target"))
     done = segments.with_omissions(asked, answered.unionByName(through))
     if locks is not None:
         done = segments.locked_over(done, locks)
-    done = done.withColumn("target", normalize_target(F.col("target"), F.col("source"), F.lit(None).cast("double")))
+    seen = pages.groupBy("doc_id", "page_no").agg(F.min("confidence").alias("page_confidence"))
+    of_page = blocks.select(*KEYS, "page_no").join(seen, ["doc_id", "page_no"], "left").select(*KEYS, "page_confidence")
+    done = done.join(of_page, KEYS, "left")
+    done = done.withColumn("target", normalize_target(F.col("target"), F.col("source"), F.col("page_confidence"))).drop("page_confidence")
     done = keep(done, "segments")
+    out = verified(blocks, done, documents, glossary, pages=pages, keep=keep)
+    return {"documents": documents, "blocks": every, "segments": done} | out
+
+
+def verified(
+    blocks: DataFrame,
+    done: DataFrame,
+    documents: DataFrame,
+    glossary: DataFrame,
+    *,
+    pages: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df,
+) -> dict[str, DataFrame]:
+    """Tables datums, findings, verdicts, checks, scores, reports and narratives of stored blocks and segments.
 
+    blocks: doc_id, block_ord, kind, source_text; done, their segments: doc_id, seg_idx,
+    block_ord, source, target; documents: doc_id and the warnings of the preflight;
+    pages: doc_id, page_no, confidence, if they were read by OCR. A document is checked
+    again this way as it is checked in a run.
+    """
+    confidence, low = None, None
+    if pages is not None:
+        read = pages.filter("confidence is not null")
+        confidence = read.groupBy("doc_id").agg(F.avg("confidence").alias("mean_ocr"))
+        low = report.page_ranges(read.filter(F.col("confidence") < REVIEW_BELOW).select("doc_id", "page_no"))
     rolled = block_targets(done.select("doc_id", F.col("block_ord").alias("block_id"), "seg_idx", "target"))
     rolled = rolled.select("doc_id", F.col("block_id").alias("block_ord"), F.col("target").alias("target_text"))
-    pairs = keep(blocks.filter(~F.col("kind").isin(structure.R.NOT_TRANSLATED)).join(rolled, KEYS), "pairs")
+    # A block without any segment is one without English, not one to leave out.
+    plain = blocks.filter(~F.col("kind").isin(structure.R.NOT_TRANSLATED)).drop("target_text")
+    pairs = keep(plain.join(rolled, KEYS, "left").withColumn("target_text", F.coalesce("target_text", F.lit(""))), "pairs")
     source = datums.extract_datums(pairs, "source_text", "s", KEYS)
     target = datums.extract_datums(pairs, "target_text", "t", KEYS)
     matched = datums.match_datums(source, target, pairs.select(*KEYS, (X.trimmed("target_text") == "").alias("target_blank")), KEYS)
@@ -59,10 +96,14 @@ def run(
     plan = keep(terms.term_plan(scan, glossary), "terms")
     verdict = pairs.withColumn("v", judge.offline_verdict(F.col("source_text"), F.col("target_text")))
     verdict = keep(verdict.select(*KEYS, "v.faithful", "v.issues", "v.confidence"), "verdicts")
+    told = lambda c: F.transform(F.array_sort(F.collect_list(F.when(X.trimmed(c) != "", F.struct("seg_idx", F.col(c).alias("x"))))), lambda s: s["x"])
+    sides = done.groupBy("doc_id").agg(told("source").alias("s"), told("target").alias("t"))
+    aligned = keep(verify.align(sides, "s", "t"), "aligned")
     parts = [
         datums.datum_findings(matched, KEYS),
         terms.term_findings(terms.term_compliance(plan, pairs), terms.term_consistency(plan, pairs)),
         verify.structure_findings(pairs, done),
+        verify.alignment_findings(aligned),
         judge.judge_findings(verdict),
     ]
     findings = parts[0].select(*_FINDING)
@@ -74,21 +115,25 @@ def run(
     used = plan.groupBy("doc_id").agg(F.sum("cnt").alias("n_terms"))
     judged = judge.judge_coverage(pairs, verdict).withColumn("n_verdicts", F.col("blocks_judged"))
     base = verify.coverage(pairs).withColumnRenamed("ratio", "coverage")
-    for part in (counts, used, judged, confidence, score.penalties(findings), done.groupBy("doc_id").agg(F.count("*").alias("n_segments"))):
+    known = [counts, used, judged, score.penalties(findings), done.groupBy("doc_id").agg(F.count("*").alias("n_segments"))]
+    for part in known + ([] if confidence is None else [confidence]):
         base = base.join(part, "doc_id", "left")
+    if confidence is None:
+        base = base.withColumn("mean_ocr", F.lit(None).cast("double"))
     scores = keep(score.gate_reasons(score.score(base)), "scores")
+    checked = score.check_counts(matched, findings, documents, aligned)
+    checks = keep(score.mechanical_checks(scores.join(checked, "doc_id", "left")), "checks")
     kinds = described(structure.doc_type(facts.document_text(blocks)), "type").select("doc_id", "type", "label", "register")
     stated = facts.title_facts(pairs)
     entries = facts.mutation_entries(pairs)
     register = findings.withColumn("place", score.severity_rank(F.col("severity")))
     register = register.select("doc_id", F.struct("place", "block_ord", "check", "title").alias("place"), "severity", "title", "check", "category")
-    extra = {c: F.lit(0) for c in ("n_preflight", "n_changed", "n_term_findings", "n_residue")} | {"exact": F.lit(True)}
     items = report.report_items(
         stated, report.by_section(findings), quotes=report.evidence(report.sentences(pairs)), mutations=entries, register=register,
-        checks=score.mechanical_checks(scores.withColumns(extra)), scores=scores,
+        checks=checks, scores=scores, low_pages=low,
     )
     critical = findings.filter("severity = 'critical'").groupBy("doc_id", "category").agg(F.count("*").alias("n"))
     return {
-        "blocks": blocks, "segments": done, "datums": matched, "findings": findings, "verdicts": verdict, "scores": scores.join(kinds, "doc_id", "left"),
+        "datums": matched, "findings": findings, "verdicts": verdict, "checks": checks, "scores": scores.join(kinds, "doc_id", "left"),
         "reports": keep(items, "reports"), "narratives": report.narrative(scores, critical),
     }
