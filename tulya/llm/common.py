@@ -60,15 +60,16 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again.
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it again; by its last column, if that is named, so that a filter on it reads a part.
 
     Lineage ends there, so a lost executor costs its running tasks only.
     """
     spark = session(df)
     path = new_path(spark, what)
+    out = df.write.option("compression", "zstd")
     with tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

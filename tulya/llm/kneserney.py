@@ -12,6 +12,7 @@ a quantile of the perplexities of its trusted documents.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,8 @@ EDGE = 0xFDD0
 #: Bytes of text scored together, unless one text alone has more; n-grams handled at a time.
 BLOCK = 8 << 20
 CHUNK = 1 << 22
+#: Parts that blocks are scored in, one after the other: so much less of their shuffle is on disk at a time.
+PARTS = 8
 #: Perplexities that a language's cut lies above, as a share of its trusted documents.
 QUANTILE = 0.97
 
@@ -282,17 +285,21 @@ def perplexity_verdicts(
     model = kneser_ney(written(counts, "counts"))
     free(source)
     # Written once, so both uses below have the same blocks, however docs gives its rows.
-    blocks = written(body.mapInArrow(_pack, "block long, packed binary"), "blocks")
-    own = written(blocks.mapInArrow(_distinct, "block long, place int, gram string"), "grams")
+    part = F.pmod("block", F.lit(PARTS)).cast("int").alias("part")
+    blocks = written(body.mapInArrow(_pack, "block long, packed binary").select("block", "packed", part), "blocks", "part")
+    own = written(blocks.select("block", "packed").mapInArrow(_distinct, "block long, place int, gram string"), "grams")
     seen = written(own.select("gram").distinct(), "seen")
     # Written before its join, so that Spark can split the commonest n-grams, which every block has.
     logs = written(model(seen).select("gram", F.log2("p").alias("log")), "logs")
-    logs = written(own.join(logs, "gram").select("block", "place", "log"), "block-logs")
+    logs = written(own.join(logs, "gram").select("block", "place", "log", part), "block-logs", "part")
     free(own, seen)
-    scored = blocks.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(
-        _score, f"doc_id {kind}, lang string, n_symbols long, perplexity double"
-    )
-    scored = written(scored, "scored")
+    # Texts are shuffled to their probabilities a part at a time, and a part's shuffle goes before the next.
+    done = []
+    for i in range(PARTS):
+        texts_, own_logs = (df.filter(F.col("part") == i).drop("part").groupBy("block") for df in (blocks, logs))
+        scores = texts_.cogroup(own_logs).applyInArrow(_score, f"doc_id {kind}, lang string, n_symbols long, perplexity double")
+        done.append(written(scores, "scored"))
+    scored = functools.reduce(DataFrame.union, done)
     free(logs, blocks)
     trusted = scored.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull())
     trusted = written(trusted.drop("good_id"), "judged")
