@@ -164,3 +164,52 @@ def without_prefix(block_id: Column, doc_id: Column) -> Column:
 def health(jobs: DataFrame, status: str = "status") -> DataFrame:
     """ok, n_open: one row."""
     return open_jobs(jobs, status).agg(F.count("*").alias("n_open")).select(F.lit(True).alias("ok"), "n_open")
+
+
+def finding_ids(findings: DataFrame, place: str = "block_ord") -> DataFrame:
+    """Adds id: the same for the same finding in every run, and another for each finding of a document.
+
+    It names document, check, place and title; of findings alike in all of these the
+    number among them too.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "check", place, "title")]
+    key = F.md5(F.concat_ws("|", *parts).cast("binary"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("check")) - 1
+    out = findings.withColumn("_key", key).withColumn("_nth", nth)
+    return out.withColumn("id", F.concat(F.lit("f"), F.substring("_key", 1, 15), F.when(F.col("_nth") > 0, F.concat(F.lit("-"), F.col("_nth"))).otherwise(""))).drop("_key", "_nth")
+
+
+def document_view(
+    docs: DataFrame, jobs: DataFrame, timings: DataFrame, segments: DataFrame, findings: DataFrame, reports: DataFrame | None = None
+) -> DataFrame:
+    """A row per document with all that a reader of it is shown.
+
+    Besides the columns of docs: job (the last one's id and status), timings in order of
+    started_at, segments in order of seg_idx, findings from critical to info and then in
+    order of place, their numbers by severity, block and segment counts, and report, if
+    reports (doc_id, body) are given. Lists are of one document each; what a document
+    lacks is an empty list or null. Give docs filtered to what is asked for: the other
+    tables are then read for these documents only.
+    """
+    def listed(df: DataFrame, order: list[Column], columns: list[str], name: str) -> DataFrame:
+        keyed = F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*columns).alias("v"))
+        rows = df.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(keyed)).alias("l"))
+        return rows.select("doc_id", F.transform("l", lambda s: s["v"]).alias(name))
+
+    parts = [
+        jobs.groupBy("doc_id").agg(F.max_by(F.struct("job_id", "status"), F.struct("created_at", "job_id")).alias("job")),
+        listed(timings, [F.col("started_at"), F.col("stage")], ["stage", "started_at"], "timings"),
+        listed(segments, [F.col("seg_idx")], ["seg_idx", "source", "target"], "segments"),
+        listed(findings, [severity_rank(F.col("severity")), F.col("block_ord"), F.col("check")], ["id", "check", "severity", "block_ord"], "findings"),
+    ]
+    out = docs
+    for part in parts + ([] if reports is None else [reports.select("doc_id", F.col("body").alias("report"))]):
+        out = out.join(part, "doc_id", "left")
+    for name in ("timings", "segments", "findings"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+
+    def of(severity: str) -> Column:
+        return F.size(F.filter("findings", lambda f: f["severity"] == severity))
+
+    counts = F.create_map(*(x for s in ("critical", "major", "minor", "info") for x in (F.lit(s), of(s))))
+    return out.withColumns({"n_segments": F.size("segments"), "by_severity": counts})

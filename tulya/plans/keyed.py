@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, facts, jobs, structure, terms
+from ..operators import asof, facts, jobs, store, structure, terms
 from ..sources import scratch, writers
 from ..streaming import state
 from . import run as batch
@@ -101,6 +101,41 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     return out["checks"]
 
 
+_SHOWN = "case l_linenumber % 4 when 0 then 'info' when 1 then 'minor' when 2 then 'critical' else 'major' end"
+
+
+@query(f"""with numbered as (select *, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_shipdate, l_partkey,
+  l_suppkey, l_quantity) - 1 as int) as block_ord from lineitem),
+f as (select l_orderkey as doc_id, block_ord, {_SHOWN} as severity, l_returnflag as c, 'f' || substr(md5(concat_ws('|', l_orderkey, l_returnflag, block_ord, 'line ' || l_linenumber)), 1, 15) as id from numbered),
+g as (select doc_id, string_agg(id || ':' || severity, ',' order by case severity when 'critical' then 0 when 'major' then 1 when 'minor' then 2 else 3 end, block_ord) as findings,
+  cast(count(*) filter (severity = 'critical') as int) as n_critical from f group by 1),
+s as (select doc_id, count(*) as n, string_agg(target_text, '|' order by block_ord) as targets from (with {BITEXT} select * from bitext) group by 1),
+j as (select event_id % 500 as doc_id, arg_max(event_id, (ts, event_id)) as job_id from events group by 1),
+t as (select event_id % 500 as doc_id, string_agg(event_type, ',' order by ts, event_type) as stages from events group by 1)
+select o.o_orderkey as doc_id, j.job_id, coalesce(t.stages, '') as stages, coalesce(s.n, 0)::int as n_segments, md5(coalesce(s.targets, '')) as targets,
+  coalesce(g.findings, '') as findings, coalesce(g.n_critical, 0) as n_critical
+from orders o left join s on o.o_orderkey = s.doc_id left join g on o.o_orderkey = g.doc_id left join j on o.o_orderkey = j.doc_id left join t on o.o_orderkey = t.doc_id
+where o.o_orderkey % 3 = 0""")
+def document_view(spark: SparkSession, d: str) -> DataFrame:
+    """All that is shown of every third document: job, stages, segments, findings by severity with their ids."""
+    docs = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"))
+    e = table(spark, d, "events").withColumn("doc_id", F.col("event_id") % 500)
+    li = numbered(spark, d).select(
+        F.col("l_orderkey").alias("doc_id"), "block_ord", F.expr(_SHOWN).alias("severity"), F.col("l_returnflag").alias("check"), F.concat(F.lit("line "), "l_linenumber").alias("title")
+    )
+    seg = bitext(spark, d).select("doc_id", F.col("block_ord").alias("seg_idx"), F.col("source_text").alias("source"), F.col("target_text").alias("target"))
+    out = store.document_view(
+        docs, e.select("doc_id", F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at")),
+        e.select("doc_id", F.col("event_type").alias("stage"), F.col("ts").alias("started_at")), seg, store.finding_ids(li),
+    )
+    joined = lambda c, f, by: F.array_join(F.transform(c, f), by)
+    return out.select(
+        "doc_id", "job.job_id", joined("timings", lambda t: t["stage"], ",").alias("stages"), "n_segments",
+        F.md5(joined("segments", lambda s: s["target"], "|").cast("binary")).alias("targets"),
+        joined("findings", lambda f: F.concat(f["id"], F.lit(":"), f["severity"]), ",").alias("findings"), F.col("by_severity")["critical"].alias("n_critical"),
+    )
+
+
 # Streams
 
 

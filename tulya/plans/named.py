@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import datums
+from ..operators import datums, replies
 from ..rules import values as V
-from .views import table
+from .views import BITEXT, numbered, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,101 @@ from once o join walk w on o.doc_id = w.doc_id and w.step = o.nth left join blan
 union all
 select o.doc_id, o.side, o.nth, o.surface, case when w.doc_id is not null then 'agreed' else 'extra' end, null, null
 from once o left join walk w on o.doc_id = w.doc_id and w.fit.t = o.nth where o.side = 't'"""
+
+
+# Every kind of fact, in texts made of a part's own values
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumns({"size": F.col("p_size").cast("string"), "price": F.floor("p_retailprice").cast("long").cast("string"), "name": F.initcap("p_name")})
+    text = [
+        F.concat(F.lit("paid "), "price", F.lit("/- in full")), F.concat(F.lit("a rate of "), "size", F.lit("% only")),
+        F.concat(F.lit("see CR No. "), "size", F.lit("/2019 here")), F.concat(F.lit("under IPC, 19"), F.lpad("size", 2, "0"), F.lit(" as said")),
+        F.concat(F.lit("by Section "), "size", F.lit(" (2) now")), F.concat(F.lit("at "), F.lpad((F.col("p_size") % 24).cast("string"), 2, "0"), F.lit(":30 hrs sharp")),
+        F.concat(F.lit("Pin 38"), F.lpad("size", 4, "0"), F.lit(" there")), F.concat(F.lit("met Shri "), "name", F.lit(", today")),
+        F.concat(F.lit("for the accused - "), "name"), F.concat("name", F.lit(" Bank")),
+        F.concat(F.lit("with "), F.when(F.col("p_size") % 2 == 0, "seven").otherwise("hundred"), F.lit(" others")), F.concat(F.lit("sum ૧૨,"), F.lpad("size", 3, "0")),
+    ]
+    out = F.lit(None).cast("string")
+    for k, t in enumerate(text):
+        out = F.when(F.col("p_partkey") % len(text) == k, t).otherwise(out)
+    return p.select(F.col("p_partkey").alias("doc_id"), out.alias("text"))
+
+
+def fact_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What is found in texts that each hold one kind of fact, the rarer ones among them."""
+    return datums.extract_datums(_planted(spark, d), "text", "s", ["doc_id"]).select("doc_id", "kind", "surface", "normalized", "start", "severity", "role")
+
+
+_LATIN = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"
+QUERIES["fact_kinds"] = fact_kinds
+SQL["fact_kinds"] = f"""with p as (
+  select p_partkey as doc_id, p_partkey % 12 as k, p_size as n, cast(p_size as varchar) as size, cast(cast(floor(p_retailprice) as bigint) as varchar) as price,
+    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as name from part),
+f as (
+  select doc_id, case k
+    when 0 then ('currency', price || '/-', price, 5, 'critical', null)
+    when 1 then ('percentage', size || '%', size, 10, 'critical', null)
+    when 2 then ('case_number', 'CR No. ' || size || '/2019', 'CRNO.' || size || '/2019', 4, 'critical', null)
+    when 3 then ('statute', 'IPC, 19' || lpad(size, 2, '0'), 'IPC, 19' || lpad(size, 2, '0'), 6, 'major', null)
+    when 4 then ('section_ref', 'Section ' || size || ' (2)', 'Section ' || size || ' (2)', 3, 'critical', null)
+    when 5 then ('time', lpad(cast(n % 24 as varchar), 2, '0') || ':30 hrs', '30:undefined', 3, 'minor', null)
+    when 6 then ('address_pin', 'Pin 38' || lpad(size, 4, '0'), '38' || lpad(size, 4, '0'), 0, 'minor', null)
+    when 7 then ('person_name', name, {_LATIN.format('name')}, 4, 'major', null)
+    when 8 then ('party_name', name, {_LATIN.format('name')}, 8, 'critical', 'accused')
+    when 9 then ('place', name || ' Bank', {_LATIN.format("name || 'bank'")}, 0, 'major', null)
+    when 10 then ('count_phrase', case when n % 2 = 0 then 'seven' else 'hundred' end, case when n % 2 = 0 then '7' else '100' end, 5, 'minor', null)
+    else ('number', '12,' || lpad(size, 3, '0'), '12' || lpad(size, 3, '0') || '|12,' || lpad(size, 3, '0'), 4, 'major', null) end as f
+  from p)
+select doc_id, f[1] as kind, f[2] as surface, f[3] as normalized, cast(f[4] as int) as start, f[5] as severity, f[6] as role from f"""
+
+
+# Replies of a model, in the forms that models give
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("n"), F.col("o_orderpriority").alias("t"))
+    q = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    n, t = F.col("n"), F.col("t")
+    forms = [
+        q('```json\n{"segments": [{"id": ', n, ', "target": "', t, '"}, {"id": 1, "text": "x"}]}\n```'),
+        q('Here you are: {"segments": {"', n, '": {"text": "', t, '"}, "b": {"text": "none"}}} Done.'),
+        q('{"segments": [{"id": "[', n, ']", "translation": "', t, '", "confidence": 0.5}, {"target": "second"}]}'),
+        q('[{"segments": 1}] no'), q('{"segments": [{"id": ', n, ', "target": "first"}, {"index": ', n, ', "target": "', t, '"}]'),
+        q('{"segments": [{"id": ', n, ', "target": "first"}, {"index": ', n, ', "target": "', t, '"}]}'),
+    ]
+    out = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        out = F.when(F.col("o_orderkey") % 7 == k, form).otherwise(out)
+    return o.select("o_orderkey", out.alias("raw"))
+
+
+def replies_read(spark: SparkSession, d: str) -> DataFrame:
+    """Segments out of replies with fences, prose around them, several schemas, and faults."""
+    return replies.reply_targets(_replies(spark, d), "raw", ["o_orderkey"]).select("o_orderkey", "id", "target", "confidence")
+
+
+QUERIES["replies_read"] = replies_read
+SQL["replies_read"] = """with o as (select o_orderkey, o_orderkey % 7 as k, o_orderpriority as t from orders)
+select o_orderkey, o_orderkey as id, case when k = 0 and o_orderkey = 1 then 'x' else t end as target, case when k = 2 then 0.5::double end as confidence from o where k in (0, 1, 2, 5)
+  and not (k = 2 and o_orderkey = 1)
+union all select o_orderkey, 1, 'x', null from o where k = 0 and o_orderkey <> 1
+union all select o_orderkey, 1, 'second', null from o where k = 2"""
+
+
+def judge_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs as a judge is shown them, read back from the prompt, and verdicts put to blocks by place or by number."""
+    li = numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.col("block_ord").alias("block_idx"), "l_quantity", "l_shipdate")
+    pair = replies.judge_pair(F.col("block_idx"), F.concat(F.lit("રકમ "), F.col("l_quantity").cast("int")), F.date_format("l_shipdate", "d MMMM yyyy"), F.array(F.lit("term")))
+    li = li.withColumns({"batch": F.floor(F.col("block_idx") / 3).cast("int"), "place": (F.col("block_idx") % 3).cast("int"), "pair": pair, "n_blocks": F.count("*").over(Window.partitionBy("doc_id"))})
+    prompts = li.groupBy("doc_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "pair"))), lambda s: s["pair"]), "\\n\\n").alias("prompt"))
+    shown = prompts.select("doc_id", "batch", F.explode(replies.judge_pairs(F.concat("prompt", F.lit("\\n\\n## Output\\nJSON only.")))).alias("p"))
+    # A model that numbers by place for even documents, and by block for the others.
+    by_place = shown.withColumn("id", F.when(F.col("doc_id") % 2 == 0, F.col("p.id") % 3).otherwise(F.col("p.id")))
+    verdicts = by_place.select("doc_id", "batch", "id", F.col("p.source").alias("source"), F.col("p.target").alias("target"))
+    return replies.reconciled(verdicts, li.select("doc_id", "batch", "place", "block_idx", "n_blocks"), ["doc_id"]).select("doc_id", "block_idx", "source", "target")
+
+
+QUERIES["judge_batches"] = judge_batches
+SQL["judge_batches"] = f"""with {BITEXT.split("li as (select")[0]}
+select l_orderkey as doc_id, block_ord as block_idx, 'રકમ ' || cast(l_quantity as int) as source, strftime(l_shipdate, '%-d %B %Y') as target from numbered"""
