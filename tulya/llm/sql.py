@@ -39,6 +39,27 @@ select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes,
 from d
 """
 
+#: Full sets, pairs by the shingles that they share, components by the transitive closure of links.
+OP9 = r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + 2], ' ') as shingle
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from shared join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+edges as (select a, b from links union all select b, a from links),
+reach as (
+  with recursive r(doc_id, other) as (
+    select doc_id, doc_id from w union select r.doc_id, e.b from r join edges e on r.other = e.a)
+  select doc_id, min(other) as component_id from r group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
+from w left join n on w.doc_id = n.doc_id join reach on w.doc_id = reach.doc_id
+"""
+
 #: CRC-32 by the byte: the table by its rule, then one step a byte of "<doc_id>:<run>".
 OP13 = r"""
 with crc as (
@@ -123,6 +144,7 @@ from summed
 ORACLES = {
     "op5_warc": OP5,
     "op1_decontaminate": OP1,
+    "op9_minhash": OP9,
     "op12_filter_audit": OP12,
     "op13_spelling": OP13,
 }
