@@ -19,13 +19,15 @@ def session(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (a local test session) a temporary folder takes its place.
+    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset a
+    local session gets a temporary folder; any other one has to set it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tulya-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
