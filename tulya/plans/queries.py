@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import control, datums, facts, jobs, judge, report, score, segments, store, structure, terms, verify
 from ..operators.english import normalize_target
 from ..sources import readers, writers
-from ..sources.scratch import kept
+from ..sources.scratch import kept, new_path
 from .views import SEEDED, SEEDED_GUJARATI, bitext, numbered, spread, table, turns
 
 KEYS = ["doc_id", "block_ord"]
@@ -493,19 +493,14 @@ def stage_durations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the documents table through the text functions, read back as a table."""
-    import uuid
-
     from ..streaming import ingest
 
     schema = table(spark, d, "documents").schema
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     name = "documents.parquet"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(d) if not _is_folder(spark, f"{d}/{name}") else ingest.files(spark, f"{d}/{name}", schema)
     q = ingest.each_batch(stream, lambda b: b.select("doc_id", X.estimate_tokens("text").alias("tokens")), f"{base}/out", f"{base}/state")
     q.awaitTermination()
-    where = spark._jvm.org.apache.hadoop.fs.Path(base)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.parquet(f"{base}/out").select("doc_id", "tokens")
 
 
