@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from tulya.plans import golden, reads
+from tests import golden
+from tulya.plans import reads
 
 
 def _rows(columns, rows):
