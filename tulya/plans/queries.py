@@ -30,16 +30,16 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 # Data fidelity
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    b = bitext(spark, d)
+def _matched(spark: SparkSession, d: str, b: DataFrame | None = None) -> DataFrame:
+    b = bitext(spark, d) if b is None else b
     source = datums.extract_datums(b, "source_text", "s", KEYS)
     target = datums.extract_datums(b, "target_text", "t", KEYS)
     return datums.match_datums(source, target, b.select(*KEYS, (F.trim("target_text") == "").alias("target_blank")), KEYS)
 
 
-def _findings(spark: SparkSession, d: str, matched: DataFrame | None = None) -> DataFrame:
+def _findings(spark: SparkSession, d: str, matched: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
     found = datums.datum_findings(_matched(spark, d) if matched is None else matched, KEYS).select(*KEYS, "check", "category", "severity", "title")
-    return found.unionByName(verify.structure_findings(bitext(spark, d)).select(*KEYS, "check", "category", "severity", "title"))
+    return found.unionByName(verify.structure_findings(bitext(spark, d) if b is None else b).select(*KEYS, "check", "category", "severity", "title"))
 
 
 @query
@@ -61,13 +61,13 @@ def datum_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """All five parts of the score: facts, terms, coverage, verdicts of the offline judge, and page confidence."""
-    b = bitext(spark, d)
-    m = _matched(spark, d)
+    b = kept(bitext(spark, d), "bitext")  # six parts of the score read it, and two what is matched
+    m = kept(_matched(spark, d, b).select(*KEYS, "side", "kind", "surface", "normalized", "severity", "context", "status", "note", "other"), "matched")
     glossary = terms.glossary(spark, SEEDED_GUJARATI)
     plan = terms.term_plan(terms.term_scan(b, glossary, "source_text"), glossary)
-    kept = terms.term_findings(terms.term_compliance(plan, b))
+    of_terms = terms.term_findings(terms.term_compliance(plan, b))
     verdicts = b.withColumn("v", judge.offline_verdict(F.col("source_text"), F.col("target_text"))).select(*KEYS, "v.faithful", "v.issues")
-    found = _findings(spark, d, m).unionByName(kept).unionByName(judge.judge_findings(verdicts).select(*KEYS, "check", "category", "severity", "title"))
+    found = _findings(spark, d, m, b).unionByName(of_terms).unionByName(judge.judge_findings(verdicts).select(*KEYS, "check", "category", "severity", "title"))
     pages = numbered(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.when((F.col("l_linenumber") % 5).isin(1, 3), 1.0).otherwise(0.5).alias("confidence"))
     parts = [
         m.groupBy("doc_id").agg(
@@ -75,7 +75,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
             F.count_if((F.col("side") == "s") & F.col("status").isin("changed", "missing")).alias("n_changed"),
         ),
         plan.groupBy("doc_id").agg(F.sum("cnt").alias("n_terms")),
-        kept.groupBy("doc_id").agg(F.count("*").alias("n_term_findings")),
+        of_terms.groupBy("doc_id").agg(F.count("*").alias("n_term_findings")),
         judge.judge_coverage(b, verdicts).withColumn("n_verdicts", F.col("blocks_judged")),
         store.mean_confidence(pages).select("doc_id", "mean_ocr"), score.penalties(found),
     ]
