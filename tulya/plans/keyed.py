@@ -97,7 +97,7 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     blocks = scratch.kept(b.select("doc_id", "block_ord", F.lit("body").alias("kind"), F.lit(1).alias("page_no"), "source_text", target.alias("target")), "stored")
     done = blocks.select("doc_id", F.col("block_ord").alias("seg_idx"), "block_ord", F.col("source_text").alias("source"), "target")
     documents = structure.preflight(facts.document_text(blocks)).select("doc_id", "warnings", "ok")
-    out = batch.verified(blocks.drop("target"), done, documents, terms.glossary(spark, SEEDED_GUJARATI), keep=scratch.kept)
+    out = batch.verified(blocks.drop("target"), done, documents, terms.glossary(spark, SEEDED_GUJARATI), reports=False, keep=scratch.kept)
     return out["checks"]
 
 

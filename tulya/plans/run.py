@@ -69,9 +69,10 @@ def verified(
     glossary: DataFrame,
     *,
     pages: DataFrame | None = None,
+    reports: bool = True,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df,
 ) -> dict[str, DataFrame]:
-    """Tables datums, findings, verdicts, checks, scores, reports and narratives of stored blocks and segments.
+    """Tables datums, findings, verdicts, checks and scores of stored blocks and segments; with reports, reports and narratives too.
 
     blocks: doc_id, block_ord, kind, source_text; done, their segments: doc_id, seg_idx,
     block_ord, source, target; documents: doc_id and the warnings of the preflight;
@@ -124,6 +125,9 @@ def verified(
     checked = score.check_counts(matched, findings, documents, aligned)
     checks = keep(score.mechanical_checks(scores.join(checked, "doc_id", "left")), "checks")
     kinds = described(structure.doc_type(facts.document_text(blocks)), "type").select("doc_id", "type", "label", "register")
+    out = {"datums": matched, "findings": findings, "verdicts": verdict, "checks": checks, "scores": scores.join(kinds, "doc_id", "left")}
+    if not reports:
+        return out
     stated = facts.title_facts(pairs)
     entries = facts.mutation_entries(pairs)
     register = findings.withColumn("place", score.severity_rank(F.col("severity")))
@@ -133,7 +137,4 @@ def verified(
         checks=checks, scores=scores, low_pages=low,
     )
     critical = findings.filter("severity = 'critical'").groupBy("doc_id", "category").agg(F.count("*").alias("n"))
-    return {
-        "datums": matched, "findings": findings, "verdicts": verdict, "checks": checks, "scores": scores.join(kinds, "doc_id", "left"),
-        "reports": keep(items, "reports"), "narratives": report.narrative(scores, critical),
-    }
+    return out | {"reports": keep(items, "reports"), "narratives": report.narrative(scores, critical)}
