@@ -23,5 +23,5 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(entry.oracle_sql()) <= set(names)
