@@ -182,3 +182,8 @@ def judge_batches(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["judge_batches"] = judge_batches
 SQL["judge_batches"] = f"""with {BITEXT.split("li as (select")[0]}
 select l_orderkey as doc_id, block_ord as block_idx, 'રકમ ' || cast(l_quantity as int) as source, strftime(l_shipdate, '%-d %B %Y') as target from numbered"""
+
+
+SQL["name_match"] = f"""with k as (
+  select a.n_name as a, b.n_name as b, {_key('a.n_name')} as x, {_key('b.n_name', True)} as y from nation a join nation b on a.n_regionkey = b.n_regionkey)
+select a, b, x <> '' and y <> '' and 1 - levenshtein(x, y) / greatest(length(x), length(y), 1) >= 0.85 as match from k"""
