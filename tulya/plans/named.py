@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import datums, replies
+from ..operators.english import ILLEGIBLE, normalize_target
 from ..rules import values as V
 from .views import BITEXT, numbered, table
 
@@ -187,3 +188,26 @@ select l_orderkey as doc_id, block_ord as block_idx, 'રકમ ' || cast(l_quan
 SQL["name_match"] = f"""with k as (
   select a.n_name as a, b.n_name as b, {_key('a.n_name')} as x, {_key('b.n_name', True)} as y from nation a join nation b on a.n_regionkey = b.n_regionkey)
 select a, b, x <> '' and y <> '' and 1 - levenshtein(x, y) / greatest(length(x), length(y), 1) >= 0.85 as match from k"""
+
+
+# English that its source contradicts
+
+
+def english_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Survey numbers called roads, and dates that the source lacks, on pages read well and badly."""
+    p = table(spark, d, "part").withColumns({"k": F.col("p_partkey") % 4, "n": F.col("p_size").cast("string"), "day": F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")})
+    other = F.lpad((F.col("p_size") % 28 + 2).cast("string"), 2, "0")
+    source = F.when(F.col("k") == 0, F.concat(F.lit("રે.સ.નં.: "), "n", F.lit(", બ્લોક નં.: "), "n", F.lit("(જુનો), "), "n", F.lit("(નવો)"))).otherwise(F.concat(F.lit("તા. "), "day", F.lit("/11/2019 ના રોજ")))
+    target = (
+        F.when(F.col("k") == 0, F.concat(F.lit("Road No.: "), "n", F.lit(", Block No.: "), "n", F.lit("(Junoo), "), "n", F.lit("(Navoo).")))
+        .when(F.col("k") == 3, F.concat(F.lit(" On "), "day", F.lit("/11/2019. "))).otherwise(F.concat(F.lit("On "), other, F.lit("/11/2019.")))
+    )
+    confidence = F.when(F.col("k") == 1, 0.5).when(F.col("k") == 2, 0.95)
+    return p.select("p_partkey", normalize_target(target, source, confidence).alias("english"))
+
+
+QUERIES["english_repaired"] = english_repaired
+SQL["english_repaired"] = f"""select p_partkey, case p_partkey % 4
+  when 0 then 'Revenue Survey No.: ' || p_size || ', Block No.: ' || p_size || '(old), ' || p_size || '(new).' when 1 then '{ILLEGIBLE}'
+  when 2 then 'On ' || lpad(cast(p_size % 28 + 2 as varchar), 2, '0') || '/11/2019.'
+  else 'On ' || lpad(cast(p_size % 28 + 1 as varchar), 2, '0') || '/11/2019.' end as english from part"""
