@@ -271,20 +271,50 @@ def _names(found: dict[str, Column], rx: dict[str, str]) -> Column:
     return F.concat(F.transform(once, lambda k: k["p"]), parties, places_, _rows(found["count"], 24, "count_phrase"))
 
 
+#: Texts of at most so many characters are searched once for each of their shapes.
+_SHORT = 400
+
+
+def shape(text: Column) -> Column:
+    """The text with 0 for every ASCII digit; texts of one shape have their facts and names in the same places.
+
+    Patterns know digits as a class only, but for that of statutes, which knows 19: a text that
+    may hold one is its own shape. Gujarati digits stay, as names may hold them.
+    """
+    return F.when(has_any(text, R.NEEDS["statute"][0]), text).otherwise(F.translate(text, "123456789", "000000000"))
+
+
+def _found(texts: DataFrame, keys: list[str], with_names: bool) -> DataFrame:
+    """keys, _text, _f: array as of facts, in order of place; the surface of a fact (not of a name) is null.
+
+    Short texts are often alike but for their numbers, so each shape is searched once; long ones are searched as they are.
+    """
+    def every(text: Column) -> Column:
+        bare = F.transform(facts(text), lambda f: f.withField("surface", F.lit(None).cast("string")))
+        return F.array_sort(F.concat(bare, names(text)) if with_names else bare)
+
+    short = F.length("_text") <= _SHORT
+    # No shape holds the mark, so a long text meets none; its key is its own, lest all of them meet in one task.
+    texts = texts.withColumn("_shape", F.when(short, shape(F.col("_text"))).otherwise(F.concat(F.lit("\u0001"), F.xxhash64("_text").cast("string"))))
+    shapes = texts.filter(short).select("_shape").distinct().repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    shapes = kept(shapes.select("_shape", every(F.col("_shape")).alias("_known")), "shapes")
+    out = texts.join(shapes, "_shape", "left")
+    return out.select(*keys, "_text", F.when(short, F.col("_known")).otherwise(every(F.col("_text"))).alias("_f"))
+
+
 def extract_datums(blocks: DataFrame, text_col: str, origin: str, keys: list[str], *, with_names: bool = True) -> DataFrame:
     """keys, origin, ord, kind, surface, normalized, start, end, context, severity, role: a row per fact.
 
     ord is the order of place in the text (of equal places, that of the kinds).
     """
     blocks = blocks.select(*keys, X.without_marks(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    text = F.col("_text")
-    found = F.concat(facts(text), names(text)) if with_names else facts(text)
-    cut = blocks.select(*keys, "_text", found.alias("_f"))
-    rows = cut.select(*keys, "_text", F.posexplode(F.array_sort("_f")).alias("ord", "d"))
+    rows = _found(blocks, keys, with_names).select(*keys, "_text", F.posexplode("_f").alias("ord", "d"))
+    cut = X.to_ascii_digits(F.substr("_text", F.col("d.start") + 1, F.col("d.end") - F.col("d.start")))
+    rows = rows.withColumn("_surface", F.coalesce(F.col("d.surface"), cut))
     severity = F.element_at(F.create_map(*(F.lit(x) for kv in _SEVERITY.items() for x in kv)), F.col("d.kind"))
     return rows.select(
-        *keys, F.lit(origin).alias("origin"), "ord", F.col("d.kind").alias("kind"), F.col("d.surface").alias("surface"),
-        normalized(F.col("d.kind"), F.col("d.surface")).alias("normalized"),
+        *keys, F.lit(origin).alias("origin"), "ord", F.col("d.kind").alias("kind"), F.col("_surface").alias("surface"),
+        normalized(F.col("d.kind"), F.col("_surface")).alias("normalized"),
         F.col("d.start").alias("start"), F.col("d.end").alias("end"),
         X.context_around("_text", F.col("d.start"), F.col("d.end")).alias("context"),
         severity.alias("severity"), F.col("d.role").alias("role"),
@@ -339,7 +369,7 @@ def _note(kind: Column, a: Column, b: Column) -> Column:
 def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, side, kind, surface, normalized, ord, severity, context, status, note, other: a row per fact.
 
-    source and target come from extract_datums; blocks has keys and target_blank.
+    source and target come from extract_datums, with context or without; blocks has keys and target_blank.
     For kinds whose agreement is an equality of keys, matching the first unused
     equal fact is pairing by rank: the i-th of a key on one side with the i-th on
     the other. One fact of a kind on either side with unequal keys is a change.
@@ -348,13 +378,15 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     elsewhere), silent (missing, no target), added, extra.
     """
     ordered = ["person_name", "party_name"]
-    fields = [*keys, "kind", "surface", "normalized", "ord", "severity", "context"]
+    more = ["context"] if "context" in source.columns else []
+    fields = [*keys, "kind", "surface", "normalized", "ord", "severity", *more]
     both = source.select(*fields, F.lit("s").alias("side")).union(target.select(*fields, F.lit("t").alias("side")))
     in_block = Window.partitionBy(*keys)
     doubtful = F.max((F.col("side") == "s") & (F.col("kind") == "date") & F.col("normalized").startswith("AMBIG:"))
     both = both.withColumn("_fold", F.col("kind").isin(ordered) | ((F.col("kind") == "date") & doubtful.over(in_block)))
     both = kept(both, "facts")  # either way of matching reads it
-    plain = both.filter("not _fold").drop("_fold")
+    # All windows are within a block, so the facts are dealt by block once.
+    plain = both.filter("not _fold").drop("_fold").repartition(*keys)
     plain = plain.withColumn("key", match_key(F.col("kind"), F.col("surface"), F.col("normalized")))
     of_kind = Window.partitionBy(*keys, "kind")
     of_key = Window.partitionBy(*keys, "kind", "key")
@@ -382,7 +414,7 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     agreed = (F.col("status") == "agreed") & (F.col("side") == "s")
     out = plain.withColumn("status", status)
     out = out.select(
-        *keys, "side", "kind", "surface", "normalized", "ord", "severity", "context", "status",
+        *keys, "side", "kind", "surface", "normalized", "ord", "severity", *more, "status",
         F.when(agreed, _note(F.col("kind"), F.col("normalized"), F.col("pair.normalized"))).alias("note"),
         F.when(agreed, F.col("pair.surface")).when(F.col("status") == "changed", F.col("lone.surface")).alias("other"),
     )
@@ -438,7 +470,7 @@ def _match_in_order(rows: DataFrame, keys: list[str], like: DataFrame) -> DataFr
         return X.let(F.get(F.filter(f["fits"], lambda x: ~F.array_contains(used, x["t"])), 0), row)
 
     found = blocks.select(*keys, F.explode(F.aggregate("facts", F.array().cast(taken), step)).alias("o")).select(*keys, "o.*")
-    fields = [*keys, "side", "kind", "surface", "normalized", "ord", "severity", "context"]
+    fields = [c for c in like.columns if c not in ("status", "note", "other")]
     sources = rows.filter("side = 's'").select(*fields).join(found.drop("t"), [*keys, "ord"])
     dates = rows.filter((F.col("side") == "s") & date).select(*keys).distinct().withColumn("_dates", F.lit(True))
     targets = rows.filter("side = 't'").select(*fields).join(found.filter("t is not null").select(*keys, F.col("t").alias("ord"), F.lit(True).alias("_used")), [*keys, "ord"], "left")
@@ -477,5 +509,5 @@ def datum_findings(matched: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(
         *keys, F.col("_f.check").alias("check"),
         F.when(F.col("_f.check") == "datum.reformatted", "Data fidelity").otherwise(category).alias("category"),
-        F.col("_f.severity").alias("severity"), title.alias("title"), F.col("context").alias("source_excerpt"),
+        F.col("_f.severity").alias("severity"), title.alias("title"), (F.col("context") if "context" in matched.columns else F.lit(None).cast("string")).alias("source_excerpt"),
     )
