@@ -41,9 +41,12 @@ def coverage(blocks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 _ALIGNED = "method string, exact boolean, pairs array<struct<src:int,tgt:int,confidence:double>>, unmatched_source array<int>, unmatched_target array<int>"
 
 
-def align(df: DataFrame, source_col: str, target_col: str, id_col: str = "doc_id") -> DataFrame:
+def align(df: DataFrame, source_col: str, target_col: str, id_col: str = "doc_id", *, clean: bool = True) -> DataFrame:
     """id, method, exact, pairs, unmatched_source, unmatched_target of sentence arrays.
 
+    With clean, words are compared without the characters of text.clean_invisible, which
+    has all of U+00AD to U+200F (accented letters too); else such a character ends a word.
+
     Equal numbers pair by place, in the JVM. Others are aligned in order (Needleman
     and Wunsch, by shared words), a document at a time in an Arrow batch.
     """
@@ -58,7 +61,7 @@ def align(df: DataFrame, source_col: str, target_col: str, id_col: str = "doc_id
         F.when(F.col("none"), count("src")).otherwise(nothing).alias("unmatched_source"),
         F.when(F.col("none"), count("tgt")).otherwise(nothing).alias("unmatched_target"),
     )
-    words = lambda c: F.transform(c, lambda x: F.array_distinct(F.filter(F.split(F.lower(X.clean_invisible(x)), "[^a-z0-9]+", -1), lambda w: F.length(w) > 2)))
+    words = lambda c: F.transform(c, lambda x: F.array_distinct(F.filter(F.split(F.lower(X.clean_invisible(x) if clean else x), "[^a-z0-9]+", -1), lambda w: F.length(w) > 2)))
     rest = rows.filter("not same and not none").select(id_col, words("src").alias("src"), words("tgt").alias("tgt"))
 
     def run(batches):
