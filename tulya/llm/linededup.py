@@ -25,9 +25,8 @@ another line are passed over; nothing that could match is lost.
 More edits (lines of 20 words and more): an edit touches three runs of three words
 at most, so of the runs in the order of their hashes, 3 k + 1 from either line have
 one in common if the lines are within k edits. A line is compared, by its edit
-distance, with the earliest line of each such run. That costs a run's own length
-for a group of any size; a line that is near none of these earliest lines, but
-near one in between, stays (README has how often).
+distance, with every earlier line that has one of its runs; lines are different
+texts here, copies count once. A run that many different lines keep costs pairs of them.
 """
 
 from __future__ import annotations
@@ -158,7 +157,7 @@ def _run_keys() -> str:
 
 
 def _far_pairs(occ: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, e, bound): lines of a bound of two edits or more, each with the earliest lines of its runs."""
+    """(h, e, bound): lines of a bound of two edits or more, each with every earlier line of its runs."""
     each = occ.select("h", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("key")
     shared = written(shared, "shared-runs")
@@ -166,11 +165,10 @@ def _far_pairs(occ: DataFrame, firsts: DataFrame) -> DataFrame:
     some = maybe_in(each, "key", bits).distinct().join(shared, "key", "left_semi")
     some = written(some.join(firsts.select("h", "at"), "h"), "keyed")
     free(shared, bits[0])
-    earliest = some.groupBy("key").agg(F.min(F.struct("at", "h", "n")).alias("e"))
-    earliest = written(earliest.select("key", F.col("e.h").alias("e"), F.col("e.n").alias("m")), "earliest")
-    pairs = some.join(earliest, "key").withColumn("bound", F.expr(f"cast(greatest(n, m) div {EDIT_WORDS} as int)"))
-    pairs = written(pairs.filter("h != e and bound >= 2 and abs(n - m) <= bound").select("h", "e", "bound").distinct(), "pairs")
-    free(some, earliest)
+    earlier = some.select("key", F.col("h").alias("e"), F.col("n").alias("m"), F.col("at").alias("before"))
+    pairs = some.join(earlier, "key").withColumn("bound", F.expr(f"cast(greatest(n, m) div {EDIT_WORDS} as int)"))
+    pairs = written(pairs.filter("before < at and bound >= 2 and abs(n - m) <= bound").select("h", "e", "bound").distinct(), "pairs")
+    free(some)
     return pairs
 
 
