@@ -16,24 +16,27 @@ _ISSUE = "array<struct<code:string,severity:string,detail:string>>"
 
 def offline_verdict(source: Column, target: Column) -> Column:
     """struct(faithful, issues, confidence) from emptiness, script and length."""
-    s, t = X.trimmed(F.coalesce(source, F.lit(""))), X.trimmed(F.coalesce(target, F.lit("")))
+    texts = F.struct(X.trimmed(F.coalesce(source, F.lit(""))).alias("s"), X.trimmed(F.coalesce(target, F.lit(""))).alias("t"))
+    told = lambda issues: F.struct(
+        (~F.exists(issues, lambda i: i["severity"].isin("critical", "major"))).alias("faithful"), issues.alias("issues"), F.lit(0.4).alias("confidence")
+    )
+    # Bound, so that neither the texts nor the issues are worked out again wherever they are used.
+    return X.let(texts, lambda x: X.let(_issues(x["s"], x["t"]), told))
+
+
+def _issues(s: Column, t: Column) -> Column:
     ratio = F.when(F.length(s) == 0, F.lit(1.0)).otherwise(F.length(t) / F.length(s))
     percent = F.floor(ratio * 100 + 0.5).cast("string")
     issue = lambda code, severity, detail: F.array(
         F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.alias("detail"))
     )
-    issues = (
+    return (
         F.when(t == "", issue("OMISSION", "critical", F.lit("The English segment is empty.")))
         .when(X.indic_ratio(t) > 0.1, issue("DRIFT", "major", F.lit("The English segment still contains Gujarati.")))
         .when(ratio < 0.35, issue("OMISSION", "major", F.concat(F.lit("English is "), percent, F.lit("% the length of its source."))))
         .when(ratio > 2.6, issue("ADDITION", "minor", F.concat(F.lit("English is "), percent, F.lit("% the length of its source."))))
         .otherwise(F.array().cast(_ISSUE))
     )
-    return F.struct(
-        (~F.exists(issues, lambda i: i["severity"].isin("critical", "major"))).alias("faithful"),
-        issues.alias("issues"),
-        F.lit(0.4).alias("confidence"),
-    )
 
 
 def batches(df: DataFrame, size: int, doc_col: str = "doc_id", order_col: str = "block_ord", first: Column | None = None) -> DataFrame:
