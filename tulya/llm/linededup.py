@@ -26,11 +26,16 @@ More edits (lines of 20 words and more): an edit touches three runs of three wor
 at most, so of the runs in the order of their hashes, 3 k + 1 from either line have
 one in common if the lines are within k edits. A line is compared, by its edit
 distance, with every earlier line that has one of its runs; lines are different
-texts here, copies count once. A run that many different lines keep costs pairs of them.
+texts here, copies count once. Each line carries a sketch, the parity of its words by 64
+bits of their hashes: an edit changes two bits at most, so pairs that differ in more than
+twice their bound are none and aren't written. A run that many different lines keep
+still meets them in pairs, which takes time but no room.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,33 +161,62 @@ def _run_keys() -> str:
     return f"if(n >= {2 * EDIT_WORDS - 2}, {first}, cast(array() as array<bigint>))"
 
 
-def _far_pairs(occ: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, e, bound): lines of a bound of two edits or more, each with every earlier line of its runs."""
-    each = occ.select("h", "n", F.explode("keys").alias("key"))
+#: SQL: for each of 64 bits whether a line has an odd number of words of it; of lines that have runs.
+_SKETCH = f"if(n >= {2 * EDIT_WORDS - 2}, aggregate(w, 0L, (x, v) -> x ^ shiftleft(1L, cast(xxhash64(v) & 63 as int))), null)"
+
+
+def _sharing(occ: DataFrame) -> DataFrame:
+    """(key, h, n, sketch): the runs of lines that another line has too."""
+    each = occ.select("h", "n", "sketch", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("key")
     shared = written(shared, "shared-runs")
     bits = bitmap_table(shared)
-    some = maybe_in(each, "key", bits).distinct().join(shared, "key", "left_semi")
-    some = written(some.join(firsts.select("h", "at"), "h"), "keyed")
-    free(shared, bits[0])
-    earlier = some.select("key", F.col("h").alias("e"), F.col("n").alias("m"), F.col("at").alias("before"))
-    pairs = some.join(earlier, "key").withColumn("bound", F.expr(f"cast(greatest(n, m) div {EDIT_WORDS} as int)"))
-    pairs = written(pairs.filter("before < at and bound >= 2 and abs(n - m) <= bound").select("h", "e", "bound").distinct(), "pairs")
-    free(some)
+    some = written(maybe_in(each, "key", bits).distinct(), "maybe-shared")  # step by step, as each table is large
+    free(bits[0], occ)
+    sharing = written(some.join(shared, "key", "left_semi"), "sharing")
+    free(some, shared)
+    return sharing
+
+
+def _far_pairs(sharing: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h, e, bound): lines of a bound of two edits or more, each with every earlier line of its runs that its sketch allows."""
+    other = sharing.select("key", F.col("h").alias("e"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    pairs = sharing.join(other, "key").withColumn("bound", F.expr(f"cast(greatest(n, m) div {EDIT_WORDS} as int)"))
+    pairs = pairs.filter("h < e and bound >= 2 and abs(n - m) <= bound and bit_count(sketch ^ other) <= 2 * bound")
+    either = written(pairs.select("h", "e", "bound").distinct(), "either-way")
+    free(sharing)
+    # Few pairs are left to be put in order of place.
+    at = firsts.select("h", "at")
+    both = either.join(at, "h").join(at.toDF("e", "before"), "e")
+    later = F.col("before") < F.col("at")
+    pairs = both.select(F.when(later, F.col("h")).otherwise(F.col("e")).alias("h"), F.when(later, F.col("e")).otherwise(F.col("h")).alias("e"), "bound")
+    pairs = written(pairs, "pairs")
+    free(either)
     return pairs
 
 
-def _far(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h): the lines of pairs that are within the bound of an earlier one."""
-    one = lines.select(F.col("h").alias("h1"), F.col("w").alias("w1"), F.col("hashed").alias("c1"))
-    two = lines.select(F.col("h").alias("h2"), F.col("w").alias("w2"), F.col("hashed").alias("c2"))
-    both = pairs.join(one, F.col("h") == F.col("h1")).join(two, F.col("e") == F.col("h2"))
-    # Words of one hash count as equal here, so these are no more edits than there are; most pairs end here.
-    both = both.filter("levenshtein(c1, c2, bound) >= 0")
+def _far(pairs: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """Tables of (h): the lines of pairs that are within the bound of an earlier one."""
+    one, two = (lines.select(F.col("h").alias(f"h{i}"), F.col("w").alias(f"w{i}"), F.col("hashed").alias(f"c{i}")) for i in (1, 2))
+    both = pairs.join(one.drop("w1"), F.col("h") == F.col("h1")).join(two.drop("w2"), F.col("e") == F.col("h2"))
+    # Words of one hash count as equal here, so these are no more edits than there are; the words themselves stay behind.
+    close = written(both.filter("levenshtein(c1, c2, bound) >= 0").select("h", "e", "bound"), "close")
     edits = f"levenshtein({_CODE.format(w='w1')}, {_CODE.format(w='w2')}, bound)"
     # They are exact if the words of both have as many hashes. As the argument of a lambda these words are listed once.
     exact = f"size(array_distinct(transform(both, x -> xxhash64(x) & 524287))) = size(both) or {edits} >= 0"
-    return both.filter(f"transform(array(array_union(w1, w2)), both -> {exact})[0]").select("h").distinct()
+
+    def settled(some: DataFrame, what: str) -> DataFrame:
+        half = written(some.join(one.drop("c1"), F.col("h") == F.col("h1")).select("h", "e", "bound", "w1"), "half")
+        words = half.join(two.drop("c2"), F.col("e") == F.col("h2"))
+        out = written(words.filter(f"transform(array(array_union(w1, w2)), both -> {exact})[0]").select("h").distinct(), what)
+        free(half)
+        return out
+
+    # One pair settles nearly every line; where two words of it had one hash, all its others are looked at.
+    sure = settled(close.groupBy("h").agg(F.min_by("bound", "e").alias("bound"), F.min("e").alias("e")), "far")
+    more = settled(close.join(sure, "h", "left_anti"), "far-more")
+    free(close)
+    return [sure, more]
 
 
 def removed_lines(
@@ -209,7 +243,7 @@ def removed_lines(
             f"case when n >= {least_words} then {of_words} "
             f"when char_length(array_join(w, ' ')) >= {LEAST_CHARS - 1} then {of_chars} else cast(array() as array<bigint>) end"
         ).alias("halves"),
-        F.expr(_run_keys()).alias("keys"),
+        F.expr(_run_keys()).alias("keys"), F.expr(_SKETCH).alias("sketch"),
     )
     occ = written(occ, "occurrences")
     place = F.struct("doc_id", "text_key", "line_no")
@@ -221,15 +255,14 @@ def removed_lines(
     in_two = maybe_in(halves, "key", bits).select("h").distinct()
     gated = written(firsts.join(in_two, "h", "left_semi").select("h", "at", F.lit(True).alias("gated")), "gated")
     free(shared, bits[0])
-    pairs = _far_pairs(occ, firsts)
     places = written(occ.select("doc_id", "text_key", "line_no", "h"), "places")
-    free(occ)
+    pairs = _far_pairs(_sharing(occ), firsts)
     asked = pairs.select("h").union(pairs.select("e")).distinct()
     asked = firsts.select("h", "at", F.lit(False).alias("gated")).join(asked, "h", "left_semi")
     wanted = written(gated.union(asked).groupBy("h").agg(F.min("at").alias("at"), F.max("gated").alias("gated")), "wanted")
     lines = _fetched(wanted, body, least_words)
-    found = [*_near(lines), written(_far(pairs, lines), "far")]
-    near = written(found[0].union(found[1]).union(found[2]).distinct().toDF("near_h"), "near")
+    found = [*_near(lines), *_far(pairs, lines)]
+    near = written(reduce(DataFrame.union, found).distinct().toDF("near_h"), "near")
     free(gated, wanted, pairs, lines, *found)
     bad = firsts.join(near, F.col("h") == F.col("near_h"), "left").filter("at != last or near_h is not null")
     # A join of its own, whose largest keys Spark can split.
