@@ -91,12 +91,7 @@ def spans(text: Column, pattern: str) -> Column:
 
 def has_any(text: Column, parts: list[str], any_case: bool = False) -> Column:
     """Whether a text has one of the parts; in any case, as patterns of any case have it, the parts are in lower case."""
-    if any_case:
-        text = F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii"))
-    out = F.lit(False)
-    for part in parts:
-        out = out | F.contains(text, F.lit(part))
-    return out
+    return X.has_any(X.any_case(text) if any_case else text, parts)
 
 
 def disjoint(found: Column) -> Column:

@@ -137,18 +137,25 @@ def _adds(weight: float):
     return step
 
 
+def _counted(text: Column, low: Column, rx: str, any_case: bool) -> Column:
+    """How often a text matches; one that lacks what the pattern needs isn't searched."""
+    needed = X.has_any(low if any_case else text, doctypes.NEEDS.get(rx, [rx]))
+    return F.when(needed, F.regexp_count(text, F.lit(java(rx, any_case)))).otherwise(0)
+
+
 def doc_type(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, type, confidence, top_score, runner_up: the type whose patterns weigh most.
 
     A pattern found n times adds weight * (1 + log2(1 + n) / 4). Too close a race of
-    low scores is `other_legal`. One pass over a text, no join: the rules are
-    expressions.
+    low scores is `other_legal`. No join: the rules are expressions. Most texts have
+    nothing of most patterns, which a search for plain parts of these tells first.
     """
     scores = []
+    # A generator keeps what is worked out from being so again wherever it is used; here the text in lower case.
+    df = df.select(F.col(id_col), F.inline(F.array(F.struct(F.col(text_col).alias("_text"), X.any_case(text_col).alias("_low")))))
     for name, weight, patterns in doctypes.RULES:
-        counts = F.array(*(F.regexp_count(F.col(text_col), F.lit(java(rx, flags == "i"))) for rx, flags in patterns))
+        counts = F.array(*(_counted(F.col("_text"), F.col("_low"), rx, flags == "i") for rx, flags in patterns))
         scores.append(F.struct(F.aggregate(counts, F.lit(0.0), _adds(weight)).alias("score"), F.lit(-len(scores)).alias("rank"), F.lit(name).alias("name")))
-    # The generator keeps the scores from being worked out again wherever they are used.
     ranked = df.select(F.col(id_col), F.inline(F.array(F.struct(F.sort_array(F.array(*scores), asc=False).alias("r")))))
     top, second = F.col("r")[0]["score"], F.col("r")[1]["score"]
     margin = F.when(second > 0, (top - second) / top).otherwise(F.lit(1.0))
