@@ -150,7 +150,8 @@ def _date_of(raw: Column, nums: Column) -> Column:
     two = F.filter(nums, lambda n: (n > 20) & (n <= 99))
     year = F.coalesce(F.get(four, 0), F.get(two, 0) + 2000)
     months = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(n).alias("n")) for name, n in _MONTHS))
-    month = F.get(F.filter(months, lambda m: F.contains(F.lower(raw), m["name"])), 0)["n"]
+    named = lambda low: F.get(F.filter(months, lambda m: F.contains(low, m["name"])), 0)["n"]
+    month = F.when(F.translate(raw, "0123456789-./", "") != "", X.let(F.lower(raw), named))
     return X.let(F.struct(year.alias("y"), month.alias("m")), lambda t: _date_by(raw, nums, t["y"], t["m"]))
 
 
@@ -279,22 +280,42 @@ def shape(text: Column) -> Column:
     return F.when(has_any(text, R.NEEDS["statute"][0]), text).otherwise(F.translate(text, "123456789", "000000000"))
 
 
-def _found(texts: DataFrame, keys: list[str], with_names: bool) -> DataFrame:
-    """keys, _text, _f: array as of facts, in order of place; the surface of a fact (not of a name) is null.
+def _every(text: Column, with_names: bool) -> Column:
+    """array as of facts and severity, in order of place; the surface of a fact (not of a name) is null."""
+    bare = F.transform(facts(text), lambda f: f.withField("surface", F.lit(None).cast("string")))
+    found = F.array_sort(F.concat(bare, names(text)) if with_names else bare)
+    return F.transform(found, lambda f: f.withField("severity", _severity_of(f["kind"])))
+
+
+def _shapes(texts: DataFrame, cols: list[str], with_names: bool) -> DataFrame:
+    """_shape, _known: what every shape of the short texts of cols holds.
 
     Short texts are often alike but for their numbers, so each shape is searched once; long ones are searched as they are.
     """
-    def every(text: Column) -> Column:
-        bare = F.transform(facts(text), lambda f: f.withField("surface", F.lit(None).cast("string")))
-        return F.array_sort(F.concat(bare, names(text)) if with_names else bare)
+    of = [texts.filter(F.length(c) <= _SHORT).select(shape(F.col(c)).alias("_shape")).distinct() for c in cols]
+    every = of[0]
+    for more in of[1:]:
+        every = every.union(more)
+    every = (every.distinct() if len(of) > 1 else every).repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    return kept(every.select("_shape", _every(F.col("_shape"), with_names).alias("_known")), "shapes")
+
 
-    short = F.length("_text") <= _SHORT
+def _found(texts: DataFrame, shapes: DataFrame, col: str, with_names: bool) -> DataFrame:
+    """texts and _f: array as of _every, of a column of which shapes are the shapes."""
+    short = F.length(col) <= _SHORT
     # No shape holds the mark, so a long text meets none; its key is its own, lest all of them meet in one task.
-    texts = texts.withColumn("_shape", F.when(short, shape(F.col("_text"))).otherwise(F.concat(F.lit("\u0001"), F.xxhash64("_text").cast("string"))))
-    shapes = texts.filter(short).select("_shape").distinct().repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
-    shapes = kept(shapes.select("_shape", every(F.col("_shape")).alias("_known")), "shapes")
-    out = texts.join(shapes, "_shape", "left")
-    return out.select(*keys, "_text", F.when(short, F.col("_known")).otherwise(every(F.col("_text"))).alias("_f"))
+    key = F.when(short, shape(F.col(col))).otherwise(F.concat(F.lit("\u0001"), F.xxhash64(col).cast("string")))
+    out = texts.withColumn("_shape", key).join(shapes, "_shape", "left")
+    return out.select(*texts.columns, F.when(short, F.col("_known")).otherwise(_every(F.col(col), with_names)).alias("_f"))
+
+
+def _severity_of(kind: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in _SEVERITY.items() for x in kv)), kind)
+
+
+def _shown(text: Column, d: Column) -> Column:
+    """The surface of an element of _every."""
+    return F.coalesce(d["surface"], X.to_ascii_digits(F.substr(text, d["start"] + 1, d["end"] - d["start"])))
 
 
 def extract_datums(blocks: DataFrame, text_col: str, origin: str, keys: list[str], *, with_names: bool = True) -> DataFrame:
@@ -303,16 +324,14 @@ def extract_datums(blocks: DataFrame, text_col: str, origin: str, keys: list[str
     ord is the order of place in the text (of equal places, that of the kinds).
     """
     blocks = blocks.select(*keys, X.without_marks(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    rows = _found(blocks, keys, with_names).select(*keys, "_text", F.posexplode("_f").alias("ord", "d"))
-    cut = X.to_ascii_digits(F.substr("_text", F.col("d.start") + 1, F.col("d.end") - F.col("d.start")))
-    rows = rows.withColumn("_surface", F.coalesce(F.col("d.surface"), cut))
-    severity = F.element_at(F.create_map(*(F.lit(x) for kv in _SEVERITY.items() for x in kv)), F.col("d.kind"))
+    rows = _found(blocks, _shapes(blocks, ["_text"], with_names), "_text", with_names).select(*keys, "_text", F.posexplode("_f").alias("ord", "d"))
+    rows = rows.withColumn("_surface", _shown(F.col("_text"), F.col("d")))
     return rows.select(
         *keys, F.lit(origin).alias("origin"), "ord", F.col("d.kind").alias("kind"), F.col("_surface").alias("surface"),
         normalized(F.col("d.kind"), F.col("_surface")).alias("normalized"),
         F.col("d.start").alias("start"), F.col("d.end").alias("end"),
         X.context_around("_text", F.col("d.start"), F.col("d.end")).alias("context"),
-        severity.alias("severity"), F.col("d.role").alias("role"),
+        F.col("d.severity").alias("severity"), F.col("d.role").alias("role"),
     )
 
 
@@ -361,6 +380,10 @@ def _note(kind: Column, a: Column, b: Column) -> Column:
     )
 
 
+#: Kinds that are matched in order of place.
+_ORDERED = ["person_name", "party_name"]
+
+
 def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, side, kind, surface, normalized, ord, severity, context, status, note, other: a row per fact.
 
@@ -372,13 +395,12 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     at a time. status: agreed, changed, missing, repeated (missing, its value found
     elsewhere), silent (missing, no target), added, extra.
     """
-    ordered = ["person_name", "party_name"]
     more = ["context"] if "context" in source.columns else []
     fields = [*keys, "kind", "surface", "normalized", "ord", "severity", *more]
     both = source.select(*fields, F.lit("s").alias("side")).union(target.select(*fields, F.lit("t").alias("side")))
     in_block = Window.partitionBy(*keys)
     doubtful = F.max((F.col("side") == "s") & (F.col("kind") == "date") & F.col("normalized").startswith("AMBIG:"))
-    both = both.withColumn("_fold", F.col("kind").isin(ordered) | ((F.col("kind") == "date") & doubtful.over(in_block)))
+    both = both.withColumn("_fold", F.col("kind").isin(_ORDERED) | ((F.col("kind") == "date") & doubtful.over(in_block)))
     both = kept(both, "facts")  # either way of matching reads it
     # All windows are within a block, so the facts are dealt by block once.
     plain = both.filter("not _fold").drop("_fold").repartition(*keys)
@@ -417,6 +439,107 @@ def match_datums(source: DataFrame, target: DataFrame, blocks: DataFrame, keys:
     return out.unionByName(_match_in_order(folded, keys, out))
 
 
+#: Blocks of at most so many facts are matched within their row.
+_FEW = 64
+
+
+def _listed(rows: DataFrame, text: str, side: str, context: bool) -> DataFrame:
+    """rows with the facts of a text in arrays side_kinds, _surfaces, _values, _severities, _keys and, if asked, _contexts, instead of the text and _f.
+
+    Arrays of texts, as an array of structs is put together anew by every step that reads it.
+    """
+    name = lambda what: f"{side}_{what}"
+    kinds, surfaces, values = (F.col(name(c)) for c in ("kinds", "surfaces", "values"))
+    keep = [c for c in rows.columns if c not in (text, "_f")]
+    around = F.transform("_f", lambda d: X.context_around(text, d["start"], d["end"])).alias(name("contexts"))
+    rows = rows.select(
+        *keep, F.col("_f.kind").alias(name("kinds")), F.transform("_f", lambda d: _shown(F.col(text), d)).alias(name("surfaces")),
+        F.col("_f.severity").alias(name("severities")), *([around] if context else []),
+    )
+    rows = rows.withColumn(name("values"), F.zip_with(kinds, surfaces, normalized))
+    return rows.withColumn(name("keys"), F.transform(kinds, lambda k, i: match_key(k, F.get(surfaces, i), F.get(values, i))))
+
+
+def _tagged(kinds: str, values: str) -> Column:
+    """Kinds and values as one text each, which is never null."""
+    return F.zip_with(kinds, values, lambda k, v: F.concat(k, F.coalesce(F.concat(F.lit("="), v), F.lit(""))))
+
+
+def _within(of: str) -> Column:
+    """array of struct(side, i, status, j): how the facts of a block are matched, as by match_datums if none is in order.
+
+    i is a fact's place in its array, j that of the target's fact that it agrees with or is changed to. of: s or t.
+    """
+    own, other = ("s", "t") if of == "s" else ("t", "s")
+    tags, fits = F.col(f"{own}_tags"), F.col(f"{other}_tags")
+    kinds, others = F.col(f"{own}_kinds"), F.col(f"{other}_kinds")
+
+    def row(k: Column, i: Column) -> Column:
+        kind = F.get(kinds, i)
+        at = F.array_compact(F.transform(fits, lambda x, j: F.when(x == k, j)))
+        rank = F.size(F.filter(F.slice(tags, F.lit(1), i + 1), lambda x: x == k))
+        lone = lambda kind: (F.size(F.filter(kinds, lambda x: x == kind)) == 1) & (F.size(F.filter(others, lambda x: x == kind)) == 1)
+        pair = X.let(at, lambda a: F.when(F.size(a) > 0, F.get(a, rank - 1)))
+
+        def settled(j: Column) -> Column:
+            if of == "t":
+                added = F.when(kind.isin(ADDED) & F.array_contains(others, kind), "added").otherwise("extra")
+                status = F.when(j.isNotNull() | X.let(kind, lone), "agreed").otherwise(added)
+                return F.struct(F.lit("t").alias("side"), i.alias("i"), status.alias("status"), F.lit(None).cast("int").alias("j"))
+            again = F.array_contains(F.col("t_known"), F.get(F.col("s_known"), i))
+            status = F.when(j.isNotNull(), "agreed").when(X.let(kind, lone), "changed").when(F.col("target_blank"), "silent").when(again, "repeated").otherwise("missing")
+            changed = F.coalesce(j, (F.array_position(others, kind) - 1).cast("int"))  # not read unless changed
+            return F.struct(F.lit("s").alias("side"), i.alias("i"), status.alias("status"), changed.alias("j"))
+
+        return X.let(pair, settled)
+
+    return F.transform(tags, row)
+
+
+def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False) -> DataFrame:
+    """The facts of blocks (keys, source_text, target_text, target_blank) found and matched: the rows of match_datums, with context if asked.
+
+    Both texts of a block are in its row, so the facts of most blocks are matched there: no fact is
+    dealt or sorted. Blocks of many facts, with names or with an ambiguous source date go through match_datums.
+    """
+    clean = lambda c: X.without_marks(F.coalesce(F.col(c), F.lit("")))
+    rows = blocks.select(*keys, "target_blank", clean("source_text").alias("_source"), clean("target_text").alias("_target"))
+    shapes = _shapes(rows, ["_source", "_target"], True)
+    for text, side in (("_source", "s"), ("_target", "t")):
+        rows = _listed(_found(rows, shapes, text, True), text, side, context)
+    in_order = lambda c: F.arrays_overlap(c, F.array(*map(F.lit, _ORDERED)))
+    doubtful = F.exists("s_values", lambda v: F.coalesce(v.startswith("AMBIG:"), F.lit(False)))
+    apart = (F.size("s_kinds") + F.size("t_kinds") > _FEW) | in_order("s_kinds") | in_order("t_kinds") | doubtful
+    rows = kept(rows.withColumn("_apart", apart), "block-facts")
+    fields = {"kind": "kinds", "surface": "surfaces", "normalized": "values", "severity": "severities"} | ({"context": "contexts"} if context else {})
+
+    few = rows.filter("not _apart").withColumns({f"{x}_{new}": _tagged(f"{x}_kinds", f"{x}_{old}") for x in "st" for new, old in (("tags", "keys"), ("known", "values"))})
+    few = few.withColumns({out: F.concat(f"s_{c}", f"t_{c}") for out, c in fields.items()} | {"_n": F.size("s_kinds")})
+
+    def row(m: Column) -> Column:
+        source = m["side"] == "s"
+        i, j = F.when(source, m["i"]).otherwise(m["i"] + F.col("_n")), m["j"] + F.col("_n")
+        noted = _note(F.get(F.col("kind"), i), F.get(F.col("normalized"), i), F.get(F.col("normalized"), j))
+        return F.struct(
+            m["side"].alias("side"), *(F.get(F.col(c), i).alias(c) for c in fields), m["i"].alias("ord"), m["status"].alias("status"),
+            F.when(source & (m["status"] == "agreed"), noted).alias("note"), F.when(m["status"].isin("agreed", "changed"), F.get(F.col("surface"), j)).alias("other"),
+        )
+
+    # All of a row is made before they are dealt out: as columns of the rows it makes code too long to be compiled.
+    here = few.select(*keys, F.explode(F.transform(F.concat(_within("s"), _within("t")), row)).alias("f")).select(*keys, "f.*")
+    here = here.select(*keys, "side", "kind", "surface", "normalized", "ord", "severity", *(["context"] if context else []), "status", "note", "other")
+
+    apart = rows.filter("_apart")
+    if apart.isEmpty():
+        return here
+
+    def exploded(side: str) -> DataFrame:
+        listed = F.arrays_zip(*(F.col(f"{side}_{c}").alias(out) for out, c in fields.items()))
+        return apart.select(*keys, F.posexplode(listed).alias("ord", "f")).select(*keys, "ord", "f.*")
+
+    return here.unionByName(match_datums(exploded("s"), exploded("t"), apart.select(*keys, "target_blank"), keys))
+
+
 def _match_in_order(rows: DataFrame, keys: list[str], like: DataFrame) -> DataFrame:
     """Names by similarity of their keys and dates by readings, first unused fit, in order of place.
 
