@@ -27,8 +27,9 @@ at most, so of the runs in the order of their hashes, 3 k + 1 from either line h
 one in common if the lines are within k edits. A line is compared, by its edit
 distance, with every earlier line that has one of its runs; lines are different
 texts here, copies count once. Each line carries a sketch, the parity of its words by 64
-bits of their hashes: an edit changes two bits at most, so pairs that differ in more than
-twice their bound are none and aren't written. A run that many different lines keep
+bits of their hashes: a replaced word changes two bits at most, one put in or left out one bit
+and the length by one, so pairs whose bits and lengths differ by more than twice their bound
+are none and aren't written. A run that many different lines keep
 still meets them in pairs, which takes time but no room.
 """
 
@@ -182,7 +183,7 @@ def _far_pairs(sharing: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h, e, bound): lines of a bound of two edits or more, each with every earlier line of its runs that its sketch allows."""
     other = sharing.select("key", F.col("h").alias("e"), F.col("n").alias("m"), F.col("sketch").alias("other"))
     pairs = sharing.join(other, "key").withColumn("bound", F.expr(f"cast(greatest(n, m) div {EDIT_WORDS} as int)"))
-    pairs = pairs.filter("h < e and bound >= 2 and abs(n - m) <= bound and bit_count(sketch ^ other) <= 2 * bound")
+    pairs = pairs.filter("h < e and bound >= 2 and abs(n - m) <= bound and bit_count(sketch ^ other) + abs(n - m) <= 2 * bound")
     either = written(pairs.select("h", "e", "bound").distinct(), "either-way")
     free(sharing)
     # Few pairs are left to be put in order of place.
