@@ -38,3 +38,27 @@ def test_facts_are_neither_dealt_nor_sorted(spark):
         pytest.skip("the test tables aren't here")
     plan = queries.must_judge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_many_blocks_are_matched_by_few_patterns(spark, monkeypatch):
+    tables = {}
+    keep = datums.kept
+    monkeypatch.setattr(datums, "kept", lambda df, what: tables.setdefault(what, keep(df, what)))
+    n = F.col("id").cast("string")
+    b = spark.range(1000, 3000).select("id", F.concat(F.lit("Rs. "), n, F.lit(" dated 2001-05-20")).alias("source_text"), F.concat(F.lit("Rs. "), n, F.lit(" and "), n).alias("target_text"))
+    out = datums.matched_datums(b.withColumn("target_blank", F.lit(False)), ["id"])
+    assert tables["patterns"].count() == 1
+    found = {(r.side, r.kind, r.status): r["count"] for r in out.groupBy("side", "kind", "status").count().collect()}
+    assert found == {("s", "currency", "agreed"): 2000, ("s", "date", "missing"): 2000, ("t", "currency", "agreed"): 2000, ("t", "number", "extra"): 2000}
+
+
+def test_plain_dates_have_the_value_of_a_reading_by_numbers(spark):
+    from tulya.functions import text as X
+
+    raw = [f"{y}-{m}-{d}" for y in ("1996", "2999", "0996", "3000") for m in ("01", "12", "13", "00", "1") for d in ("01", "31", "32", "00", "9")]
+    raw += [f"{d} {m} {y}" for d in ("1", "01", "31", "32", "0", "12") for m in ("January", "May", "december", "મે", "Month") for y in ("1996", "96", "3000")]
+    raw += ["1996-03-03\n", "3 March 1996 ", "3  March 1996"]
+    df = spark.createDataFrame([(x,) for x in raw], "r string")
+    numbers = F.transform(F.regexp_extract_all("r", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
+    read = df.select("r", datums.normalize_date(F.col("r")).alias("a"), X.let(numbers, lambda n: datums._date_of(F.col("r"), n)).alias("b")).collect()
+    assert [(r.r, r.a) for r in read] == [(r.r, r.b) for r in read]

@@ -157,3 +157,23 @@ def test_report_and_log(spark):
     assert sections("terminology.not_present", "owner") == [18] and sections("datum.x", "the owner's deed") == [1, 5, 7, 18, 19]
     log = spark.createDataFrame([(1, "a", 1, "queued"), (1, "b", 2, "running"), (2, "a", 3, "failed")], "doc int, ts string, id int, status string")
     assert {(r.doc, r.status) for r in jobs.latest_job(log, "doc", "ts", "id").collect()} == {(1, "running"), (2, "failed")}
+
+
+def test_structure_findings_read_the_blocks_once(spark):
+    rows = [(1, 0, "a b c d e f g h", ""), (1, 1, "a b c d e f g h i j k l m n o p", "a  \n\n\n b"), (1, 2, "x", None), (1, 3, "a b c", verify.V.NO_TRANSLATION), (1, 4, "a b c", "  \t ")]
+    b = spark.createDataFrame(rows, "doc_id int, block_ord int, source_text string, target_text string")
+    out = verify.structure_findings(b)
+    found = sorted((r.block_ord, r.check, r.severity, r.title, r.target_excerpt) for r in out.collect())
+    empty = [(i, "structure.block_empty", "critical", f"Block {i + 1} has no English", "(empty)") for i in (0, 2, 4)]
+    assert found == sorted([*empty, (1, "structure.block_stunted", "major", "Block 2 is much shorter than its source", "a b"), (3, "structure.translation_missing", "critical", "Block 4 contains an untranslated passage", verify.V.NO_TRANSLATION)])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_texts_of_single_blanks_are_only_trimmed(spark):
+    from tulya.functions import text as X
+
+    texts = ["a b", " a b ", "a  b", "a\tb", "a\nb", "a\r\nb", "a b", "અ બ", "અ બ", " અ", "", "a\u000bb", " \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.has_single_blanks("t").alias("plain"), X.trimmed("t").alias("a"), X.normalize_whitespace("t").alias("b")).collect():
+        assert not r.plain or r.a == r.b, r
+    assert df.filter(X.has_single_blanks("t")).count() >= 5

@@ -133,13 +133,21 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.concat(y.cast("string"), F.lit("-"), _two(m), F.lit("-"), _two(d))
 
 
+#: Dates with nothing to choose: year, month and day in order, or an English month between day and year.
+_ISO_DATE = "^[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\\z"
+_NAMED_DATE = rf"^(?:0?[1-9]|[12][0-9]|3[01]) (?:{'|'.join(V.ENGLISH_MONTHS)}) [12][0-9]{{3}}\z"
+
+
 def normalize_date(raw: Column) -> Column:
     """ISO date; AMBIG:a|b where day and month can change places; ? and the text where it is none.
 
     Two-digit years are the first number of 21 to 99, in any place, and 2000 more.
     """
     found = F.transform(F.regexp_extract_all(raw, F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
-    return X.let(found, lambda nums: _date_of(raw, nums))
+    # The two forms of most dates, which have one reading; all others are read number by number.
+    english = F.create_map(*(F.lit(x) for i, m in enumerate(V.ENGLISH_MONTHS) for x in (m, f"{i + 1:02d}")))
+    named = F.concat_ws("-", F.substring_index(raw, " ", -1), F.element_at(english, F.substring_index(F.substring_index(raw, " ", 2), " ", -1)), F.lpad(F.substring_index(raw, " ", 1), 2, "0"))
+    return F.when(raw.rlike(_ISO_DATE), raw).when(raw.rlike(_NAMED_DATE), named).otherwise(X.let(found, lambda nums: _date_of(raw, nums)))
 
 
 _MONTHS = [*V.GUJARATI_MONTHS.items(), *((m.lower(), i + 1) for i, m in enumerate(V.ENGLISH_MONTHS))]
@@ -174,7 +182,7 @@ def _date_by(raw: Column, nums: Column, year: Column, month: Column) -> Column:
 
 def _value(surface: Column) -> Column:
     digits = F.regexp_replace(surface, "[^0-9]", "")
-    return F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    return F.when(F.startswith(digits, F.lit("0")), F.regexp_replace(digits, "^0+(?=[0-9])", "")).otherwise(digits)
 
 
 def normalized(kind: Column, surface: Column) -> Column:
@@ -368,6 +376,10 @@ def match_key(kind: Column, surface: Column, value: Column) -> Column:
     )
 
 
+#: Kinds of which facts that agree can have a note.
+_NOTED = ["number", "section_ref", "case_number", "statute"]
+
+
 def _note(kind: Column, a: Column, b: Column) -> Column:
     grouped = kind.eqNullSafe("number") & F.contains(a, F.lit("|")) & F.contains(b, F.lit("|"))
     return F.when(
@@ -444,7 +456,7 @@ _FEW = 64
 
 
 def _listed(rows: DataFrame, text: str, side: str, context: bool) -> DataFrame:
-    """rows with the facts of a text in arrays side_kinds, _surfaces, _values, _severities, _keys and, if asked, _contexts, instead of the text and _f.
+    """rows with the facts of a text in arrays side_kinds, _surfaces, _values, _keys and, if asked, _contexts, instead of the text and _f.
 
     Arrays of texts, as an array of structs is put together anew by every step that reads it.
     """
@@ -453,8 +465,7 @@ def _listed(rows: DataFrame, text: str, side: str, context: bool) -> DataFrame:
     keep = [c for c in rows.columns if c not in (text, "_f")]
     around = F.transform("_f", lambda d: X.context_around(text, d["start"], d["end"])).alias(name("contexts"))
     rows = rows.select(
-        *keep, F.col("_f.kind").alias(name("kinds")), F.transform("_f", lambda d: _shown(F.col(text), d)).alias(name("surfaces")),
-        F.col("_f.severity").alias(name("severities")), *([around] if context else []),
+        *keep, F.col("_f.kind").alias(name("kinds")), F.transform("_f", lambda d: _shown(F.col(text), d)).alias(name("surfaces")), *([around] if context else []),
     )
     rows = rows.withColumn(name("values"), F.zip_with(kinds, surfaces, normalized))
     return rows.withColumn(name("keys"), F.transform(kinds, lambda k, i: match_key(k, F.get(surfaces, i), F.get(values, i))))
@@ -465,6 +476,30 @@ def _tagged(kinds: str, values: str) -> Column:
     return F.zip_with(kinds, values, lambda k, v: F.concat(k, F.coalesce(F.concat(F.lit("="), v), F.lit(""))))
 
 
+def _pattern() -> Column:
+    """What of a block's facts decides how they are matched, as one text: their kinds, which of them have one key, and of which source
+    values the target has one. Blocks are many, their patterns few, so each pattern is matched once.
+    """
+    joined = lambda c: F.array_join(c, ",")
+    first = F.transform("_tags", lambda x: F.array_position("_tags", x).cast("string"))
+    again = F.transform("s_known", lambda x: F.array_contains("t_known", x).cast("string"))
+    return F.concat_ws("|", joined("s_kinds"), joined("t_kinds"), joined(first), joined(again), F.coalesce("target_blank", F.lit(False)).cast("string"))
+
+
+def _matched_patterns(patterns: DataFrame) -> DataFrame:
+    """_pattern, _facts: array of struct(side, i, status, j, kind, severity) of every pattern."""
+    part = lambda i: F.filter(F.split(F.get(F.split("_pattern", r"\|", -1), i), ","), lambda x: x != "")
+    rows = patterns.select("_pattern", part(0).alias("s_kinds"), part(1).alias("t_kinds"), part(2).alias("_first"), part(3).alias("_again"), F.endswith("_pattern", F.lit("|true")).alias("target_blank"))
+    n, m = F.size("s_kinds"), F.size("t_kinds")
+    rows = rows.withColumns({"s_tags": F.slice("_first", F.lit(1), n), "t_tags": F.slice("_first", n + 1, m), "s_again": F.transform("_again", lambda x: x == "true")})
+
+    def row(m: Column) -> Column:
+        kind = F.when(m["side"] == "s", F.get("s_kinds", m["i"])).otherwise(F.get("t_kinds", m["i"]))
+        return F.struct(*(m[c].alias(c) for c in ("side", "i", "status", "j")), kind.alias("kind"), _severity_of(kind).alias("severity"))
+
+    return kept(rows.select("_pattern", F.transform(F.concat(_within("s"), _within("t")), row).alias("_facts")), "patterns")
+
+
 def _within(of: str) -> Column:
     """array of struct(side, i, status, j): how the facts of a block are matched, as by match_datums if none is in order.
 
@@ -486,7 +521,7 @@ def _within(of: str) -> Column:
                 added = F.when(kind.isin(ADDED) & F.array_contains(others, kind), "added").otherwise("extra")
                 status = F.when(j.isNotNull() | X.let(kind, lone), "agreed").otherwise(added)
                 return F.struct(F.lit("t").alias("side"), i.alias("i"), status.alias("status"), F.lit(None).cast("int").alias("j"))
-            again = F.array_contains(F.col("t_known"), F.get(F.col("s_known"), i))
+            again = F.get(F.col("s_again"), i)
             status = F.when(j.isNotNull(), "agreed").when(X.let(kind, lone), "changed").when(F.col("target_blank"), "silent").when(again, "repeated").otherwise("missing")
             changed = F.coalesce(j, (F.array_position(others, kind) - 1).cast("int"))  # not read unless changed
             return F.struct(F.lit("s").alias("side"), i.alias("i"), status.alias("status"), changed.alias("j"))
@@ -499,8 +534,8 @@ def _within(of: str) -> Column:
 def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False) -> DataFrame:
     """The facts of blocks (keys, source_text, target_text, target_blank) found and matched: the rows of match_datums, with context if asked.
 
-    Both texts of a block are in its row, so the facts of most blocks are matched there: no fact is
-    dealt or sorted. Blocks of many facts, with names or with an ambiguous source date go through match_datums.
+    Both texts of a block are in its row, so the facts of most blocks are matched there, by their pattern: no
+    fact is dealt or sorted. Blocks of many facts, with names or with an ambiguous source date go through match_datums.
     """
     clean = lambda c: X.without_marks(F.coalesce(F.col(c), F.lit("")))
     rows = blocks.select(*keys, "target_blank", clean("source_text").alias("_source"), clean("target_text").alias("_target"))
@@ -510,32 +545,33 @@ def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False)
     in_order = lambda c: F.arrays_overlap(c, F.array(*map(F.lit, _ORDERED)))
     doubtful = F.exists("s_values", lambda v: F.coalesce(v.startswith("AMBIG:"), F.lit(False)))
     apart = (F.size("s_kinds") + F.size("t_kinds") > _FEW) | in_order("s_kinds") | in_order("t_kinds") | doubtful
-    rows = kept(rows.withColumn("_apart", apart), "block-facts")
-    fields = {"kind": "kinds", "surface": "surfaces", "normalized": "values", "severity": "severities"} | ({"context": "contexts"} if context else {})
-
-    few = rows.filter("not _apart").withColumns({f"{x}_{new}": _tagged(f"{x}_kinds", f"{x}_{old}") for x in "st" for new, old in (("tags", "keys"), ("known", "values"))})
-    few = few.withColumns({out: F.concat(f"s_{c}", f"t_{c}") for out, c in fields.items()} | {"_n": F.size("s_kinds")})
-
-    def row(m: Column) -> Column:
-        source = m["side"] == "s"
-        i, j = F.when(source, m["i"]).otherwise(m["i"] + F.col("_n")), m["j"] + F.col("_n")
-        noted = _note(F.get(F.col("kind"), i), F.get(F.col("normalized"), i), F.get(F.col("normalized"), j))
-        return F.struct(
-            m["side"].alias("side"), *(F.get(F.col(c), i).alias(c) for c in fields), m["i"].alias("ord"), m["status"].alias("status"),
-            F.when(source & (m["status"] == "agreed"), noted).alias("note"), F.when(m["status"].isin("agreed", "changed"), F.get(F.col("surface"), j)).alias("other"),
-        )
-
-    # All of a row is made before they are dealt out: as columns of the rows it makes code too long to be compiled.
-    here = few.select(*keys, F.explode(F.transform(F.concat(_within("s"), _within("t")), row)).alias("f")).select(*keys, "f.*")
-    here = here.select(*keys, "side", "kind", "surface", "normalized", "ord", "severity", *(["context"] if context else []), "status", "note", "other")
+    rows = rows.withColumn("_apart", apart)
+    rows = rows.withColumns({f"{x}_{new}": _tagged(f"{x}_kinds", f"{x}_{old}") for x in "st" for new, old in (("tags", "keys"), ("known", "values"))})
+    rows = rows.withColumn("_tags", F.concat("s_tags", "t_tags")).withColumn("_pattern", F.when(~F.col("_apart"), _pattern()))
+    fields = {"surface": "surfaces", "normalized": "values"} | ({"context": "contexts"} if context else {})
+    kinds = [F.when(F.col("_apart"), F.col(f"{x}_kinds")).alias(f"{x}_kinds") for x in "st"]
+    rows = kept(rows.select(*keys, "target_blank", "_apart", "_pattern", *kinds, *(f"{x}_{c}" for x in "st" for c in fields.values())), "block-facts")
+
+    few = rows.filter("not _apart").drop("_apart")
+    patterns = _matched_patterns(few.select("_pattern").distinct())
+    here = few.join(patterns, "_pattern").select(*few.columns, F.explode("_facts").alias("m")).select(*few.columns, "m.*")
+    source, i, j = F.col("side") == "s", F.col("i"), F.col("j")
+    own = lambda c: F.when(source, F.get(f"s_{c}", i)).otherwise(F.get(f"t_{c}", i))
+    note = F.when(source & (F.col("status") == "agreed") & F.col("kind").isin(_NOTED), _note(F.col("kind"), F.get("s_values", i), F.get("t_values", j)))
+    other = F.when(F.col("status").isin("agreed", "changed"), F.get("t_surfaces", j))
+    own_fields = {out: own(c).alias(out) for out, c in fields.items()}
+    here = here.select(
+        *keys, "side", "kind", own_fields["surface"], own_fields["normalized"], i.alias("ord"), "severity",
+        *([own_fields["context"]] if context else []), "status", note.alias("note"), other.alias("other"),
+    )
 
     apart = rows.filter("_apart")
     if apart.isEmpty():
         return here
 
     def exploded(side: str) -> DataFrame:
-        listed = F.arrays_zip(*(F.col(f"{side}_{c}").alias(out) for out, c in fields.items()))
-        return apart.select(*keys, F.posexplode(listed).alias("ord", "f")).select(*keys, "ord", "f.*")
+        listed = F.arrays_zip(*(F.col(f"{side}_{c}").alias(out) for out, c in {"kind": "kinds", **fields}.items()))
+        return apart.select(*keys, F.posexplode(listed).alias("ord", "f")).select(*keys, "ord", "f.*").withColumn("severity", _severity_of(F.col("kind")))
 
     return here.unionByName(match_datums(exploded("s"), exploded("t"), apart.select(*keys, "target_blank"), keys))
 
