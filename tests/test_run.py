@@ -37,3 +37,15 @@ def test_a_run(spark):
     assert any("a reviewer has it" in r.target for r in out["segments"].filter("doc_id = 4").collect())
     low = {r.doc_id: [i.text for i in r["items"] if i.text and "low OCR confidence" in i.text] for r in out["reports"].collect()}
     assert low[2] and not low[1] and not low[4]
+
+
+def test_stored_blocks_are_matched_by_their_patterns(spark, monkeypatch):
+    kept, keep = [], run.datums.kept
+    monkeypatch.setattr(run.datums, "kept", lambda df, what: (kept.append(what), keep(df, what))[1])
+    pairs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(0).alias("block_ord"), F.lit("body").alias("kind"), F.lit("Rs. 500 is due").alias("source_text"))
+    done = pairs.select("doc_id", F.lit(0).alias("seg_idx"), "block_ord", F.col("source_text").alias("source"), F.concat(F.lit("Rs. 50"), F.col("doc_id"), F.lit(" is due")).alias("target"))
+    documents = pairs.select("doc_id", F.array().cast("array<struct<code:string,severity:string>>").alias("warnings"), F.lit(True).alias("ok"))
+    out = run.verified(pairs, done, documents, terms.glossary(spark, [("રકમ", "amount (sum)", "general", False, [], [])]), reports=False, keep=scratch.kept)
+    found = sorted((r.doc_id, r.status, r.other, r.context) for r in out["datums"].filter("side = 's'").collect())
+    assert "patterns" in kept
+    assert found == [(0, "agreed", "Rs. 500", "Rs. 500 is due"), (1, "changed", "Rs. 501", "Rs. 500 is due"), (2, "changed", "Rs. 502", "Rs. 500 is due")]

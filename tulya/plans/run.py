@@ -89,9 +89,7 @@ def verified(
     # A block without any segment is one without English, not one to leave out.
     plain = blocks.filter(~F.col("kind").isin(structure.R.NOT_TRANSLATED)).drop("target_text")
     pairs = keep(plain.join(rolled, KEYS, "left").withColumn("target_text", F.coalesce("target_text", F.lit(""))), "pairs")
-    source = datums.extract_datums(pairs, "source_text", "s", KEYS)
-    target = datums.extract_datums(pairs, "target_text", "t", KEYS)
-    matched = datums.match_datums(source, target, pairs.select(*KEYS, (X.trimmed("target_text") == "").alias("target_blank")), KEYS)
+    matched = datums.matched_datums(pairs.withColumn("target_blank", X.trimmed("target_text") == ""), KEYS, context=True)
     matched = keep(matched, "datums")
     scan = terms.term_scan(pairs, glossary, "source_text")
     plan = keep(terms.term_plan(scan, glossary), "terms")
