@@ -24,13 +24,14 @@ another line are passed over; nothing that could match is lost.
 
 More edits (lines of 20 words and more): an edit touches three runs of three words
 at most, so of the runs in the order of their hashes, 3 k + 1 from either line have
-one in common if the lines are within k edits. A line is compared, by its edit
-distance, with every earlier line that has one of its runs; lines are different
-texts here, copies count once. Each line carries a sketch, the parity of its words by 64
-bits of their hashes: a replaced word changes two bits at most, one put in or left out one bit
+one in common if the lines are within k edits. Lines are different texts here, copies
+count once. Each line carries a sketch, the parity of its words by 64 bits of their hashes
+(long lines by 512 too, as theirs allow many edits): a replaced word changes two bits at most, one put in or left out one bit
 and the length by one, so pairs whose bits and lengths differ by more than twice their bound
-are none and aren't written. A run that many different lines keep
-still meets them in pairs, which takes time but no room.
+are none and aren't written. A line is compared, by its edit distance, with the earliest line of
+each of its runs, which costs a run its own length. Only what that leaves is compared with every
+earlier line of its runs, in as many parts as keep the pairs of each few: a run that many lines keep, none of
+them near the earliest, still meets them in pairs, which takes time but no room.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_table, free, maybe_in, texts, written
+from .common import bitmap_table, free, maybe_in, session, texts, tidy, written
 
 
 #: Blanks within a line. Runs of them fold into one blank; at its ends they don't count.
@@ -166,9 +167,26 @@ def _run_keys() -> str:
 _SKETCH = f"if(n >= {2 * EDIT_WORDS - 2}, aggregate(w, 0L, (x, v) -> x ^ shiftleft(1L, cast(xxhash64(v) & 63 as int))), null)"
 
 
+#: Words from which a line has a wide sketch, and the longs of that.
+WIDE_WORDS, WIDE = 144, 8
+#: SQL: the parities by 512 bits, of which the sketch has those of 64; null for shorter lines.
+_WIDE = (
+    f"if(n >= {WIDE_WORDS}, transform(array(transform(w, v -> xxhash64(v))), hs -> transform(sequence(0, {WIDE - 1}), j -> "
+    f"aggregate(hs, 0L, (x, y) -> x ^ if((y & {(WIDE - 1) * 64}) = j * 64, shiftleft(1L, cast(y & 63 as int)), 0L))))[0], null)"
+)
+#: SQL: whether the sketches of two lines (n, sketch, wide and m, other, others) allow their bound of two edits or more.
+_BOUND = f"cast(greatest(n, m) div {EDIT_WORDS} as int)"
+_ALIKE = (
+    f"{_BOUND} >= 2 and abs(n - m) <= {_BOUND} and bit_count(sketch ^ other) + abs(n - m) <= 2 * {_BOUND} and (wide is null or others is null or "
+    + " + ".join(f"bit_count(wide[{j}] ^ others[{j}])" for j in range(WIDE)) + f" + abs(n - m) <= 2 * {_BOUND})"
+)
+#: Rows of pairs that are worked on at a time.
+MOST_PAIRS = 1 << 24
+
+
 def _sharing(occ: DataFrame) -> DataFrame:
-    """(key, h, n, sketch): the runs of lines that another line has too."""
-    each = occ.select("h", "n", "sketch", F.explode("keys").alias("key"))
+    """(key, h, n, sketch, wide): the runs of lines that another line has too."""
+    each = occ.select("h", "n", "sketch", "wide", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("key")
     shared = written(shared, "shared-runs")
     bits = bitmap_table(shared)
@@ -179,25 +197,44 @@ def _sharing(occ: DataFrame) -> DataFrame:
     return sharing
 
 
-def _far_pairs(sharing: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, e, bound): lines of a bound of two edits or more, each with every earlier line of its runs that its sketch allows."""
-    other = sharing.select("key", F.col("h").alias("e"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    pairs = sharing.join(other, "key").withColumn("bound", F.expr(f"cast(greatest(n, m) div {EDIT_WORDS} as int)"))
-    pairs = pairs.filter("h < e and bound >= 2 and abs(n - m) <= bound and bit_count(sketch ^ other) + abs(n - m) <= 2 * bound")
-    either = written(pairs.select("h", "e", "bound").distinct(), "either-way")
+def _other(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(F.col("key").alias("k"), F.col("h").alias("e"), F.col("n").alias("m"), F.col("sketch").alias("other"), F.col("wide").alias("others"), *more)
+
+
+def _alive(sharing: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, h, n, sketch, wide, at): the runs that a line shares with one its sketch allows."""
+    some = written(sharing.join(_other(sharing), F.expr(f"key = k and h != e and {_ALIKE}"), "left_semi"), "alike")
     free(sharing)
-    # Few pairs are left to be put in order of place.
-    at = firsts.select("h", "at")
-    both = either.join(at, "h").join(at.toDF("e", "before"), "e")
-    later = F.col("before") < F.col("at")
-    pairs = both.select(F.when(later, F.col("h")).otherwise(F.col("e")).alias("h"), F.when(later, F.col("e")).otherwise(F.col("h")).alias("e"), "bound")
-    pairs = written(pairs, "pairs")
-    free(either)
-    return pairs
-
-
-def _far(pairs: DataFrame, lines: DataFrame) -> list[DataFrame]:
-    """Tables of (h): the lines of pairs that are within the bound of an earlier one."""
+    alive = written(some.join(firsts.select("h", "at"), "h"), "alive")
+    free(some)
+    return alive
+
+
+def _far(alive: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """Tables of (h): the lines within a bound of two edits or more of an earlier one."""
+    leads = written(alive.groupBy("key").agg(F.min(F.struct("at", "h", "n", "sketch", "wide")).alias("f")).select(F.col("key").alias("k"), "f.*"), "leads")
+    lead = leads.select("k", *(F.col(c).alias(x) for c, x in zip(("h", "n", "sketch", "wide"), ("e", "m", "other", "others"), strict=True)))
+    led = alive.join(lead, F.expr("key = k and h != e"))
+    pairs = written(led.filter(_ALIKE).select("h", "e", F.expr(_BOUND).alias("bound")).distinct(), "pairs")
+    found = _close(pairs, lines)
+    # The earliest line of a run has been compared with all others of it.
+    others = written(led.select(*alive.columns), "others")
+    free(pairs, leads)
+    rest = written(others.join(reduce(DataFrame.union, found).withColumnRenamed("h", "near_h"), F.col("h") == F.col("near_h"), "left_anti"), "rest")
+    both = lambda rows: rows.join(_other(others, F.col("at").alias("before")), F.expr(f"key = k and before < at and {_ALIKE}"))
+    with tidy(session(rest)):
+        parts = -(-both(rest).count() // MOST_PAIRS)
+    for i in range(parts):
+        some = both(rest.filter(f"pmod(h, {parts}) = {i}")).select("h", "e", F.expr(_BOUND).alias("bound"))
+        pairs = written(some.distinct(), "more-pairs")
+        found += _close(pairs, lines)
+        free(pairs)
+    free(others, rest)
+    return found
+
+
+def _close(pairs: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """Tables of (h): the lines of pairs (h, e, bound) that are within the bound of their earlier one."""
     one, two = (lines.select(F.col("h").alias(f"h{i}"), F.col("w").alias(f"w{i}"), F.col("hashed").alias(f"c{i}")) for i in (1, 2))
     both = pairs.join(one.drop("w1"), F.col("h") == F.col("h1")).join(two.drop("w2"), F.col("e") == F.col("h2"))
     # Words of one hash count as equal here, so these are no more edits than there are; the words themselves stay behind.
@@ -244,7 +281,7 @@ def removed_lines(
             f"case when n >= {least_words} then {of_words} "
             f"when char_length(array_join(w, ' ')) >= {LEAST_CHARS - 1} then {of_chars} else cast(array() as array<bigint>) end"
         ).alias("halves"),
-        F.expr(_run_keys()).alias("keys"), F.expr(_SKETCH).alias("sketch"),
+        F.expr(_run_keys()).alias("keys"), F.expr(_SKETCH).alias("sketch"), F.expr(_WIDE).alias("wide"),
     )
     occ = written(occ, "occurrences")
     place = F.struct("doc_id", "text_key", "line_no")
@@ -257,14 +294,14 @@ def removed_lines(
     gated = written(firsts.join(in_two, "h", "left_semi").select("h", "at", F.lit(True).alias("gated")), "gated")
     free(shared, bits[0])
     places = written(occ.select("doc_id", "text_key", "line_no", "h"), "places")
-    pairs = _far_pairs(_sharing(occ), firsts)
-    asked = pairs.select("h").union(pairs.select("e")).distinct()
+    alive = _alive(_sharing(occ), firsts)
+    asked = alive.select("h").distinct()
     asked = firsts.select("h", "at", F.lit(False).alias("gated")).join(asked, "h", "left_semi")
     wanted = written(gated.union(asked).groupBy("h").agg(F.min("at").alias("at"), F.max("gated").alias("gated")), "wanted")
     lines = _fetched(wanted, body, least_words)
-    found = [*_near(lines), *_far(pairs, lines)]
+    found = [*_near(lines), *_far(alive, lines)]
     near = written(reduce(DataFrame.union, found).distinct().toDF("near_h"), "near")
-    free(gated, wanted, pairs, lines, *found)
+    free(gated, wanted, alive, lines, *found)
     bad = firsts.join(near, F.col("h") == F.col("near_h"), "left").filter("at != last or near_h is not null")
     # A join of its own, whose largest keys Spark can split.
     bad = written(bad.select(F.col("h").alias("bad"), "at", F.col("near_h").isNotNull().alias("near")), "bad")
