@@ -531,11 +531,10 @@ def _within(of: str) -> Column:
     return F.transform(tags, row)
 
 
-def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False) -> DataFrame:
-    """The facts of blocks (keys, source_text, target_text, target_blank) found and matched: the rows of match_datums, with context if asked.
+def _block_facts(blocks: DataFrame, keys: list[str], context: bool) -> DataFrame:
+    """keys, target_blank, _apart, _pattern and the facts in arrays s_ and t_ kinds, surfaces, values (and contexts) of every block.
 
-    Both texts of a block are in its row, so the facts of most blocks are matched there, by their pattern: no
-    fact is dealt or sorted. Blocks of many facts, with names or with an ambiguous source date go through match_datums.
+    _apart, with a null for _pattern: a block of many facts, with names or with an ambiguous source date.
     """
     clean = lambda c: X.without_marks(F.coalesce(F.col(c), F.lit("")))
     rows = blocks.select(*keys, "target_blank", clean("source_text").alias("_source"), clean("target_text").alias("_target"))
@@ -547,7 +546,57 @@ def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False)
     apart = (F.size("s_kinds") + F.size("t_kinds") > _FEW) | in_order("s_kinds") | in_order("t_kinds") | doubtful
     rows = rows.withColumn("_apart", apart)
     rows = rows.withColumns({f"{x}_{new}": _tagged(f"{x}_kinds", f"{x}_{old}") for x in "st" for new, old in (("tags", "keys"), ("known", "values"))})
-    rows = rows.withColumn("_tags", F.concat("s_tags", "t_tags")).withColumn("_pattern", F.when(~F.col("_apart"), _pattern()))
+    return rows.withColumn("_tags", F.concat("s_tags", "t_tags")).withColumn("_pattern", F.when(~F.col("_apart"), _pattern()))
+
+
+def _match_apart(apart: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
+    """match_datums of blocks whose facts are in arrays; fields: the array of each field but the kind."""
+    def exploded(side: str) -> DataFrame:
+        listed = F.arrays_zip(*(F.col(f"{side}_{c}").alias(out) for out, c in {"kind": "kinds", **fields}.items()))
+        return apart.select(*keys, F.posexplode(listed).alias("ord", "f")).select(*keys, "ord", "f.*").withColumn("severity", _severity_of(F.col("kind")))
+
+    return match_datums(exploded("s"), exploded("t"), apart.select(*keys, "target_blank"), keys)
+
+
+#: Counts of a block's facts in the source, of those changed or missing, and of findings about them by severity.
+TALLIES = ["n_datums", "n_changed", "found_critical", "found_major", "found_minor"]
+
+
+def datum_tallies(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and TALLIES, of what matched_datums and datum_findings have of a block: a row per block.
+
+    Blocks of one pattern have the same counts, so their facts become no rows.
+    """
+    rows = _block_facts(blocks, keys, False)
+    fields = {"surface": "surfaces", "normalized": "values"}
+    kept_apart = [F.when(F.col("_apart"), F.col(f"{x}_{c}")).alias(f"{x}_{c}") for x in "st" for c in ("kinds", *fields.values())]
+    rows = kept(rows.select(*keys, "target_blank", "_apart", "_pattern", *kept_apart), "block-facts")
+
+    def tallied(matched: DataFrame, by: list[str]) -> DataFrame:
+        source = F.col("side") == "s"
+        n = matched.groupBy(*by).agg(F.count_if(source).alias("n_datums"), F.count_if(source & F.col("status").isin("changed", "missing")).alias("n_changed"))
+        found = datum_findings(matched, by).groupBy(*by).agg(*(F.count_if(F.col("severity") == c.removeprefix("found_")).alias(c) for c in TALLIES[2:]))
+        return n.join(found, by, "left")
+
+    few = rows.filter("not _apart")
+    no = F.lit(None).cast("string")
+    patterns = _matched_patterns(few.select("_pattern").distinct()).select("_pattern", F.explode("_facts").alias("m")).select("_pattern", "m.*")
+    patterns = kept(tallied(patterns.withColumns({"surface": no, "other": no, "note": no}), ["_pattern"]), "tallies")
+    with_counts = lambda df: df.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in TALLIES))
+    here = with_counts(few.join(patterns, "_pattern", "left"))
+    apart = rows.filter("_apart")
+    if apart.isEmpty():
+        return here
+    return here.unionByName(with_counts(apart.join(tallied(kept(_match_apart(apart, keys, fields), "apart"), keys), keys, "left")))
+
+
+def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False) -> DataFrame:
+    """The facts of blocks (keys, source_text, target_text, target_blank) found and matched: the rows of match_datums, with context if asked.
+
+    Both texts of a block are in its row, so the facts of most blocks are matched there, by their pattern: no
+    fact is dealt or sorted. Blocks of many facts, with names or with an ambiguous source date go through match_datums.
+    """
+    rows = _block_facts(blocks, keys, context)
     fields = {"surface": "surfaces", "normalized": "values"} | ({"context": "contexts"} if context else {})
     kinds = [F.when(F.col("_apart"), F.col(f"{x}_kinds")).alias(f"{x}_kinds") for x in "st"]
     rows = kept(rows.select(*keys, "target_blank", "_apart", "_pattern", *kinds, *(f"{x}_{c}" for x in "st" for c in fields.values())), "block-facts")
@@ -566,14 +615,7 @@ def matched_datums(blocks: DataFrame, keys: list[str], *, context: bool = False)
     )
 
     apart = rows.filter("_apart")
-    if apart.isEmpty():
-        return here
-
-    def exploded(side: str) -> DataFrame:
-        listed = F.arrays_zip(*(F.col(f"{side}_{c}").alias(out) for out, c in {"kind": "kinds", **fields}.items()))
-        return apart.select(*keys, F.posexplode(listed).alias("ord", "f")).select(*keys, "ord", "f.*").withColumn("severity", _severity_of(F.col("kind")))
-
-    return here.unionByName(match_datums(exploded("s"), exploded("t"), apart.select(*keys, "target_blank"), keys))
+    return here if apart.isEmpty() else here.unionByName(_match_apart(apart, keys, fields))
 
 
 def _match_in_order(rows: DataFrame, keys: list[str], like: DataFrame) -> DataFrame:

@@ -40,6 +40,15 @@ def penalties(findings: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     )
 
 
+def with_counted(docs: DataFrame) -> DataFrame:
+    """Penalties with those of facts, of which found_critical, found_major and found_minor are counts."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    kinds = ("critical", "major", "minor")
+    total = sum((n(f"found_{k}") * V.SEVERITY_WEIGHTS[k] for k in kinds), F.lit(0.0))
+    counts = {f"n_{k}": n(f"n_{k}") + n(f"found_{k}") for k in kinds}
+    return docs.withColumns(counts | {"datum_penalty": F.coalesce("datum_penalty", F.lit(0.0)) + total}).drop(*(f"found_{k}" for k in kinds))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Adds the five components, total, grade and certified_ready.
 

@@ -31,15 +31,18 @@ def coverage_state(source: Column, target: Column) -> Column:
 def coverage(blocks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """doc, n_blocks, n_translated, n_empty, n_stunted, ratio."""
     state = coverage_state(F.col("source_text"), F.col("target_text"))
-    out = blocks.select(doc_col, state.alias("state")).groupBy(doc_col).agg(
-        F.count("*").alias("n_blocks"),
-        F.count_if(F.col("state") != "empty").alias("n_translated"),
-        F.count_if(F.col("state") == "empty").alias("n_empty"),
-        F.count_if(F.col("state") == "stunted").alias("n_stunted"),
-    )
+    out = blocks.select(doc_col, state.alias("state")).groupBy(doc_col).agg(*coverage_counts(F.col("state")))
     return out.withColumn("ratio", F.col("n_translated") / F.col("n_blocks"))
 
 
+def coverage_counts(state: Column) -> list[Column]:
+    """Aggregates n_blocks, n_translated, n_empty, n_stunted of the states of blocks."""
+    return [
+        F.count("*").alias("n_blocks"), F.count_if(state != "empty").alias("n_translated"),
+        F.count_if(state == "empty").alias("n_empty"), F.count_if(state == "stunted").alias("n_stunted"),
+    ]
+
+
 _ALIGNED = "method string, exact boolean, pairs array<struct<src:int,tgt:int,confidence:double>>, unmatched_source array<int>, unmatched_target array<int>"
 
 
